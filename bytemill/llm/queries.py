@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, langid, minhash
+from bytemill.llm import bpe, kdshard, langid, minhash, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,34 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; equal texts share a shard."""
+    placed = kdshard.shard(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The dimensions of the mix: column name, expression in Spark and DuckDB alike.
+MIX = {
+    "source": "source",
+    "lang": "lang",
+    "topic": "CASE WHEN text IS NULL THEN 'none' WHEN text LIKE '%|%' THEN 'tabular' WHEN text LIKE '%http%' OR text LIKE '%@%' THEN 'contacts' WHEN octet_length({text}) >= 4000 THEN 'long' ELSE 'prose' END",
+}
+MIX_SHARE = 0.6
+
+
+def mix_dims(df: DataFrame) -> DataFrame:
+    """df with the columns mix_source, mix_lang, mix_topic and mix_tokens."""
+    return df.withColumns({f"mix_{k}": F.expr(e.format(text="text")) for k, e in MIX.items()} | {"mix_tokens": mixing.tokens(F.col("text"))})
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its raked weight, its probability, and whether the sample keeps it: 60 % of the tokens, shares by square roots."""
+    docs = mix_dims(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text", "source", "lang")
+    out = mixing.mix(docs, ["mix_source", "mix_lang", "mix_topic"], "mix_tokens", MIX_SHARE)
+    total = F.col("mix_weight") / F.col("mix_total")
+    return out.select("doc_id", *[F.col(f"mix_{k}").alias(k) for k in MIX], F.col("mix_tokens").alias("n_tokens"), F.round(total, 9).alias("weight"), F.round("mix_p", 9).alias("p"), F.col("mix_kept").alias("kept"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, by models of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -42,8 +70,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op10_langid": op10_langid}
+    return {"op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    dims = {k: e.format(text="encode(text)") for k, e in MIX.items()}
+    return {"op9_mixing": mixing.sql(dims, "coalesce(octet_length(encode(text)), 0) // 4 + 1", MIX_SHARE)}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, kdshard, langid, minhash, mixing
+from bytemill.llm import bpe, kdshard, langid, minhash, mixing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op2_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best vectors by integer inner product for every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 #: The dimensions of the mix: column name, expression in Spark and DuckDB alike.
 MIX = {
     "source": "source",
@@ -70,9 +76,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+    return {"op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
     dims = {k: e.format(text="encode(text)") for k, e in MIX.items()}
-    return {"op9_mixing": mixing.sql(dims, "coalesce(octet_length(encode(text)), 0) // 4 + 1", MIX_SHARE)}
+    top = """
+        WITH fine AS (
+          SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) AS n FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.rowid AS r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+          FROM (SELECT *, row_number() OVER () AS rowid FROM fine WHERE vec_id % 50 = 0) q JOIN fine c ON q.n = c.n AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INT AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+    return {"op5_topk": top, "op9_mixing": mixing.sql(dims, "coalesce(octet_length(encode(text)), 0) // 4 + 1", MIX_SHARE)}

@@ -1,10 +1,11 @@
 """Byte-level BPE by a rank queue.
 
-All pre-tokens of a piece of a batch lie in one doubly linked list of tokens. A pair that can merge is put
-into the bucket of its merge rank; a three-level bitmap over the ranks finds the first bucket in use; the
-leftmost position of that bucket is merged unless the pair there has changed since (a stale entry). New
-pairs enter their buckets, lower ones than the present included. A pre-token of n bytes costs O(n log n)
-whatever it holds, so megabytes without a space are no special case.
+Pre-tokens lie in one doubly linked list of tokens. A pair that can merge is put into the bucket of its merge
+rank; a three-level bitmap over the ranks finds the first bucket in use; the leftmost position of that
+bucket is merged unless the pair there has changed since (a stale entry). New pairs enter their buckets, lower
+ones than the present included. A long pre-token of n bytes costs O(n log n) whatever it holds, so megabytes
+without a space are no special case. Short ones share a queue: a step then takes the leftmost entry of each
+pre-token in the bucket, all at once in NumPy, and puts the rest back.
 
 Nulls and empty texts have no ids and decode to an empty text. Rows are neither dropped nor merged; columns
 other than the two named are ignored.
@@ -29,7 +30,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from bytemill.llm.arrow import slices
 
 #: Segments that a worker remembers, and the bytes of text that it encodes at once.
-CACHE, PIECE = 300_000, 6 << 20
+CACHE, PIECE = 200_000, 10 << 20
+#: Pre-tokens of more bytes than this go through the queue one by one; of the others, so many share one.
+LONG, TOGETHER = 256, 100_000
 #: Unicode White_Space, which `\s` means in the pattern.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -79,6 +82,27 @@ class RankBitmap:
         return b << 6 | (word & -word).bit_length() - 1
 
 
+class Recent(dict):
+    """A map that keeps what was used lately: when it is full, its entries become the old ones and the former old ones go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't known; old ones that are wanted are taken over."""
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for k in keys - self.keys():
+            if (v := self.old.get(k)) is None:
+                new.append(k)
+            else:
+                self[k] = v
+        return new
+
+
 class Encoder:
     """Ranks and pattern made ready; the id of a token is its rank."""
 
@@ -90,8 +114,9 @@ class Encoder:
         self.odd = re.compile(rf"[{_WHITE}]{{2}}|^[{_WHITE}]|[{_WHITE}]\Z").search
         #: Left id * size + right id, for each pair whose bytes together are a token, to that token's rank.
         self.pairs = {ranks[t[:i]] * self.size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.made = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.heads, self.tails = Recent(CACHE), Recent(CACHE)
 
     def merge(self, parts: list[bytes]) -> list[list[int]]:
         """Ids of each part; no merge crosses the border of two parts."""
@@ -156,6 +181,72 @@ class Encoder:
             at = end
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of ids; -1 where there is none or the left id is -1."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
+
+    def merge_together(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part as bytes of int32, by one queue for all."""
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        n = int(sizes.sum())
+        part = np.append(np.repeat(np.arange(len(parts)), sizes), -1)
+        token = np.append(np.array(self.byte, dtype=np.int32)[np.frombuffer(b"".join(parts), dtype=np.uint8)], np.int32(-1))
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)  # position n (and so -1) is the end of all
+        rank = np.full(n + 1, -1, dtype=np.int32)
+        if n > 1:
+            rank[: n - 1] = np.where(part[: n - 1] == part[1:n], self._ranks(token[: n - 1], token[1:n]), -1)
+        order = np.argsort(rank[:n], kind="stable")
+        order = order[np.searchsorted(rank[order], 0) :]
+        used, at = np.unique(rank[order], return_index=True)
+        buckets: dict[int, list] = {r: [order[a:b]] for r, a, b in zip(used.tolist(), at.tolist(), [*at.tolist()[1:], len(order)], strict=True)}
+        pushed: dict[int, list[int]] = {}
+        bits = RankBitmap(self.size)
+        for r in buckets:
+            bits.add(r)
+        while (r := bits.first()) >= 0:
+            bits.remove(r)
+            held = buckets.pop(r, [])
+            if more := pushed.pop(r, None):
+                held.append(np.array(more))
+            p = held[0] if len(held) == 1 else np.sort(np.concatenate(held))
+            if len(held) == 1 and more:
+                p = np.sort(p)
+            p = p[rank[p] == r]  # the others are stale
+            if len(p) > 1:
+                owner = part[p]
+                first = np.ones(len(p), dtype=bool)
+                first[1:] = owner[1:] != owner[:-1]
+                if not first.all():
+                    buckets[r] = [p[~first]]
+                    bits.add(r)
+                    p = p[first]
+            if not len(p):
+                continue
+            q = nxt[p]
+            after, before = nxt[q], prv[p]
+            token[p], token[q], rank[q] = r, -1, -1
+            nxt[p] = after
+            prv[after] = p
+            here = np.concatenate([p, before])
+            ahead = np.concatenate([after, p])
+            new = np.where(part[here] == part[ahead], self._ranks(token[here], token[ahead]), -1)
+            rank[here] = new
+            rank[n] = -1
+            good = new >= 0
+            for s, i in zip(new[good].tolist(), here[good].tolist(), strict=True):
+                if s in pushed:
+                    pushed[s].append(i)
+                else:
+                    pushed[s] = [i]
+                    bits.add(s)
+        alive = np.flatnonzero(token[:n] >= 0)
+        ends = np.cumsum(np.bincount(part[alive], minlength=len(parts))) * 4
+        out = token[alive].tobytes()
+        return [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
     def segments(self, text: str) -> list[str]:
         """Cuts at single spaces between visible characters; there every match of the pattern begins anew. All but the first lack their space."""
         if not text:
@@ -164,24 +255,42 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of int32."""
-        split = [self.segments(t) if t else [] for t in texts]
-        first, rest = {s[0] for s in split if s}, set().union(*(s[1:] for s in split))
-        heads, tails = self._known(first, "", self.heads), self._known(rest, " ", self.tails)
-        return [b"".join([heads[s[0]], *map(tails.__getitem__, s[1:])]) if s else b"" for s in split]
-
-    def _known(self, segments: set[str], lead: str, cache: dict[str, bytes]) -> dict[str, bytes]:
-        """Ids of lead + segment for at least these segments; the worker's cache, unless they are too many for it."""
-        new = segments - cache.keys()
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = segments
-        held = cache if len(new) <= CACHE else {}
-        todo = list(new)
+        first, rest = set(), set()
+        for t in texts:
+            if t:
+                a, *b = self.segments(t)
+                first.add(a)
+                rest.update(b)
+        heads, tails = self._known(first, "", self.heads).__getitem__, self._known(rest, " ", self.tails).__getitem__
+        out = []
+        for t in texts:
+            if t:
+                a, *b = self.segments(t)  # again, rather than keep them all
+                out.append(b"".join([heads(a), *map(tails, b)]))
+            else:
+                out.append(b"")
+        return out
+
+    def _known(self, segments: set[str], lead: str, cache: Recent) -> dict[str, bytes]:
+        """Ids of lead + segment, for these segments at least."""
+        todo = cache.missing(segments)
         found = [self.pieces(lead + s) for s in todo]
-        ids = iter(self.merge([p.encode() for ps in found for p in ps]))
+        ids: dict[str, bytes] = {}
+        short, long = [], []
+        for p in set().union(*found):
+            b = p.encode()
+            if b in self.ranks:
+                ids[p] = array("i", [self.ranks[b]]).tobytes()
+            else:
+                (short if len(b) <= LONG else long).append((p, b))
+        for i in range(0, len(short), TOGETHER):
+            now = short[i : i + TOGETHER]
+            ids.update(zip((p for p, _ in now), self.merge_together([b for _, b in now]), strict=True))
+        for p, b in long:
+            ids[p] = array("i", self.merge([b])[0]).tobytes()
         for s, ps in zip(todo, found, strict=True):
-            held[s] = array("i", [t for _ in ps for t in next(ids)]).tobytes()
-        return held
+            cache[s] = b"".join(map(ids.__getitem__, ps))
+        return cache
 
 
 @functools.cache

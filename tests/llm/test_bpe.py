@@ -51,3 +51,18 @@ def test_frame_with_nulls_repeats_and_clashing_names(spark):
     got = sorted(((r.doc_id or 0, len(r.ids), r.text) for r in out.collect()))
     assert [(i, t) for i, _, t in got] == [(0, "abc"), (1, ""), (2, ""), (3, "Hello wörld"), (3, "Hello wörld")]
     assert bpe.encode(df.limit(0), FILE, P.PATTERN).count() == 0
+
+
+def test_shared_queue_gives_the_same_as_one_by_one(both):
+    encoder, _ = both
+    r = random.Random(4)
+    parts = ["".join(r.choices(["a", "aa", "th", "e", "s", "ing", "ö", "日", "0"], k=r.randrange(1, 40))).encode() for _ in range(2000)]
+    assert [memoryview(x).cast("i").tolist() for x in encoder.merge_together(parts)] == encoder.merge(parts)
+
+
+def test_recent_keeps_what_is_used():
+    c = bpe.Recent(4)
+    for word in "abcdefgh":
+        for k in c.missing({"a", word}):
+            c[k] = k
+        assert c["a"] == "a" and c[word] == word and len(c) + len(c.old) <= 8

@@ -7,9 +7,9 @@ whose id is null takes no part: it stays, with no component. Equal rows and equa
 
 1. One scan gives each document its set's size and 128-bit fingerprint and K MinHash values of 16 bits.
 2. Classes of equal fingerprints are aggregated to their least id, so copies cost nothing further on.
-3. The forest: TREES orders of the K values. A region is a group of classes with the same first DEPTH values of
-   one order. A region with more than REGION members is descended by one more value, and so on to DEEPEST; what is larger
-   even there is cut into blocks along the order, each with the region's least member. So depth adapts to each
+3. The forest: TREES orders of the K values. A region is a group of classes with the same first values of one
+   order, as many as the first of DEPTHS says. A region with more than REGION members is descended to the next depth; what is larger
+   even at the last is cut into blocks along the order, each with the region's least member. So depth adapts to each
    region and no task sees more than a block. Within a region a search from each unvisited member over the rest finds
    those whose values agree often enough for the threshold (LIKELY, five deviations below it).
    A pair at the threshold meets in a given tree with probability 0.8**3, and in none of 16 with 1e-5.
@@ -32,7 +32,9 @@ from bytemill.llm.arrow import LOWER, U64, constants, groups, hash_spans, mix, s
 from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
-TREES, DEPTH, DEEPEST, PER_TREE = 16, 3, 10, 6
+TREES, PER_TREE = 16, 6
+#: How many values of a tree's order make a region's key: at first, and where a region is too large, and at the deepest.
+DEPTHS = (3, 6, 10)
 K = TREES * PER_TREE
 REGION, PIECE = 1024, 2 << 20
 #: Share of equal MinHash values from which a pair becomes a candidate, for the threshold 0.8.
@@ -168,32 +170,31 @@ def _rotated(tree: str = "tree") -> str:
 def candidates(classes: DataFrame, likely: float = LIKELY) -> DataFrame:
     """Edges (a, b) between classes (rep, sig) that the forest finds alike; repeats possible."""
     level = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    least, found = round(likely * K), None
-    for depth in range(DEPTH, DEEPEST + 1):
-        keyed = level.withColumn("key", F.expr(f"xxhash64(tree, substring({_rotated()}, 1, {2 * depth}))"))
-        shared = kept(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1"))
-        fit = shared.where(F.col("size") <= REGION)
-        rows = keyed.join(fit.select("key"), "key").select("key", "rep", "sig")
-        found = rows if found is None else found.union(rows)
-        large = shared.where(F.col("size") > REGION)
+    found = None
+    for depth in DEPTHS:
+        keyed = level.select("rep", "tree", F.expr(f"xxhash64(tree, substring({_rotated()}, 1, {2 * depth}))").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1")
+        met = kept(keyed.join(shared.hint("merge"), "key"))
+        fit = met.where(F.col("size") <= REGION).select("key", "rep")
+        found = fit if found is None else found.union(fit)
+        large = met.where(F.col("size") > REGION)
         if large.isEmpty():
             break
-        level = keyed.join(large.select("key"), "key").select("rep", "sig", "tree")
-        if depth == DEEPEST:
-            found = found.union(_blocks(keyed.join(large, "key"), classes))
+        level = large.select("rep", "tree").join(classes.hint("merge"), "rep")
+    else:
+        found = found.union(_blocks(large.join(classes.hint("merge"), "rep")))
+    rows = found.join(classes.hint("merge"), "rep").select("key", "rep", "sig")
     # `key` is sorted within a partition, so each region's rows are neighbours
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(least), "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(round(likely * K)), "a long, b long")
 
 
-def _blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Regions too large even at the deepest level, in blocks by the next values; each block also holds the region's least member."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Regions too large even at the deepest level, in blocks by the next values and by id; each block also holds the region's least member."""
     parts = F.ceil(F.col("size") / F.lit(REGION / 2)).cast("int")
-    key = F.expr("xxhash64(key, b)")
-    dealt = rows.withColumn("b", F.pmod(F.expr(f"xxhash64(substring({_rotated()}, {2 * DEEPEST + 1}, 4))"), parts).cast("int"))
-    # a block that is still too large for lack of other values is cut by id
-    dealt = dealt.withColumn("b", F.expr("b * 1000003 + cast(pmod(xxhash64(rep), greatest(1, cast(size / 512 as int))) as int)"))
-    hubs = dealt.select("key", "b", "least").distinct().join(classes.select(F.col("rep").alias("least"), "sig"), "least")
-    return dealt.where("rep <> least").select(key.alias("key"), "rep", "sig").union(hubs.select(key.alias("key"), F.col("least").alias("rep"), "sig"))
+    next_values = F.expr(f"xxhash64(substring({_rotated()}, {2 * DEPTHS[-1] + 1}, 4))")
+    dealt = rows.select("rep", "least", F.xxhash64("key", F.pmod(next_values, parts), F.pmod(F.xxhash64("rep"), parts)).alias("key"))
+    hubs = dealt.groupBy("key").agg(F.min("least").alias("rep"))
+    return dealt.where("rep <> least").select("key", "rep").union(hubs)
 
 
 def _linked(cut: np.ndarray, made: np.ndarray, percent: int) -> list[tuple[int, int]]:

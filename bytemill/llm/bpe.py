@@ -111,7 +111,6 @@ class Encoder:
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pieces = regex.compile(white(pattern)).findall
         self.apart = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])").split
-        self.odd = re.compile(rf"[{_WHITE}]{{2}}|^[{_WHITE}]|[{_WHITE}]\Z").search
         #: Left id * size + right id, for each pair whose bytes together are a token, to that token's rank.
         self.pairs = {ranks[t[:i]] * self.size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.keys = np.array(sorted(self.pairs), dtype=np.int64)
@@ -247,25 +246,37 @@ class Encoder:
         out = token[alive].tobytes()
         return [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
-    def segments(self, text: str) -> list[str]:
+    def plain(self, text: str) -> bool:
+        """Whether all white space is single spaces and line feeds between visible characters: no more of it than there are gaps between words."""
+        words = text.split()
+        return len(words) - 1 == text.count(" ") + text.count("\n") == len(text) - sum(map(len, words))
+
+    def segments(self, text: str, plain: bool) -> list[str]:
         """Cuts at single spaces between visible characters; there every match of the pattern begins anew. All but the first lack their space."""
-        if not text:
-            return []
-        return self.apart(text) if self.odd(text) else text.split(" ")
+        return text.split(" ") if plain else self.apart(text)
+
+    def cut(self, segment: str, lead: str) -> list[str]:
+        """The matches of the pattern in lead + segment; for a word, or a word and one mark, without running the pattern."""
+        if segment.isalpha():
+            return [lead + segment]
+        if segment[-1] in ".,:;!?" and segment[:-1].isalpha():
+            return [lead + segment[:-1], segment[-1]]
+        return self.pieces(lead + segment)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of int32."""
-        first, rest = set(), set()
+        first, rest, plain = set(), set(), []
         for t in texts:
+            plain.append(bool(t) and self.plain(t))
             if t:
-                a, *b = self.segments(t)
+                a, *b = self.segments(t, plain[-1])
                 first.add(a)
                 rest.update(b)
         heads, tails = self._known(first, "", self.heads).__getitem__, self._known(rest, " ", self.tails).__getitem__
         out = []
-        for t in texts:
+        for t, p in zip(texts, plain, strict=True):
             if t:
-                a, *b = self.segments(t)  # again, rather than keep them all
+                a, *b = self.segments(t, p)  # again, rather than keep them all
                 out.append(b"".join([heads(a), *map(tails, b)]))
             else:
                 out.append(b"")
@@ -274,7 +285,7 @@ class Encoder:
     def _known(self, segments: set[str], lead: str, cache: Recent) -> dict[str, bytes]:
         """Ids of lead + segment, for these segments at least."""
         todo = cache.missing(segments)
-        found = [self.pieces(lead + s) for s in todo]
+        found = [self.cut(s, lead) for s in todo]
         ids: dict[str, bytes] = {}
         short, long = [], []
         for p in set().union(*found):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, chat, kdshard, langid, minhash, mixing, topk
+from bytemill.llm import bpe, chat, kdshard, langid, minhash, mixing, ppm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole documents by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return ppm.score(docs, ppm.train(docs.where(~held_out)), carry={"held_out": held_out})
+
+
 def op2_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes; equal texts share a shard."""
     placed = kdshard.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -77,14 +84,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, by models of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = langid.train(docs.where(~held_out))
     found = langid.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_symbols", "cross_entropy", "rejected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op7_chat": op7_chat, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+    return {"op1_ppm": op1_ppm, "op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op7_chat": op7_chat, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:

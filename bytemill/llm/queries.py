@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, chat, kdshard, langid, minhash, mixing, ppm, topk
+from bytemill.llm import bpe, chat, hnsw, kdshard, langid, minhash, mixing, ppm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.pack(rows.union(extra)))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that link with a cosine of 0.9 or more, whatever their labels."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
 #: The dimensions of the mix: column name, expression in Spark and DuckDB alike.
 MIX = {
     "source": "source",
@@ -91,7 +96,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op7_chat": op7_chat, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+    return {"op1_ppm": op1_ppm, "op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op7_chat": op7_chat, "op8_hnsw": op8_hnsw, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:

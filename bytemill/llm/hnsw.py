@@ -28,8 +28,8 @@ from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
 #: Links a node keeps (twice as many in the bottom layer), beam while building and at first in search, batch sizes.
-M, BUILD, BEAM, BATCH = 12, 48, 24, 512
-AUDIT, RECALL = 128, 0.98
+M, BUILD, BEAM, BATCH = 12, 48, 32, 512
+AUDIT, RECALL = 256, 0.995
 #: Least number of shards, and the most classes of a shard.
 SHARDS, MEMBERS = 8, 50_000
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, chat, hnsw, kdshard, langid, minhash, mixing, ppm, topk
+from bytemill.llm import bpe, chat, hnsw, kdshard, langid, licenses, minhash, mixing, ppm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, how well it matches, and how many parts match one."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.size("matches").cast("long").alias("n_matches"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that says control strings, formatted into prefix trees and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -96,7 +102,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op7_chat": op7_chat, "op8_hnsw": op8_hnsw, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+    return {"op1_ppm": op1_ppm, "op3_bpe": op3_bpe, "op2_kdshard": op2_kdshard, "op4_minhash": op4_minhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_chat": op7_chat, "op8_hnsw": op8_hnsw, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from bytemill.llm.arrow import slices
 
@@ -318,13 +318,15 @@ def _tokens(lines: tuple[str, ...]) -> list[bytes]:
     return tokens
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """id_col and the ids of the whole text (array of int; empty for null). No special tokens.
+def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
+    """id_col, the columns carry, and the ids of the whole text (array of int; empty for null). No special tokens.
 
     The rank file (a fixed vocabulary, so of bounded size) is read on the driver and broadcast.
     """
     with open(rank_file) as f:
         held = df.sparkSession.sparkContext.broadcast(tuple(f.read().splitlines()))
+    keep = [id_col, *(carry or [])]
+    names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, pattern)
@@ -333,10 +335,10 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, out_col])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, out_col])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, `{out_col}` array<int>")
+    schema = StructType([*(df.schema[c] for c in keep), StructField(out_col, ArrayType(IntegerType()))])
+    return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

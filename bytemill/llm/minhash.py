@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytemill.llm.arrow import LOWER, U64, constants, groups, hash_spans, mix, slices, utf8, words
@@ -78,8 +78,12 @@ def _by_row(made: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, f1, f2, sig): set size, fingerprint, and K values of 16 bits as binary (null for the empty set)."""
+    """(id, h, n, f1, f2, sig): hash of the text, set size, fingerprint, and K values of 16 bits as binary (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", PIECE):
@@ -94,9 +98,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 f1[full] = np.add.reduceat(mix(made), starts)
                 f2[full] = np.add.reduceat(mix(made * _SHINGLE[63]), starts)
             raw = [x.tobytes() if k else None for x, k in zip(sig, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(raw, type=pa.binary())], names=["id", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(raw, type=pa.binary())], names=["id", "h", "n", "f1", "f2", "sig"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n long, f1 long, f2 long, sig binary")
+    return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, h long, n long, f1 long, f2 long, sig binary")
 
 
 def _spanning(values: np.ndarray, likely: int) -> list[tuple[int, int]]:
@@ -257,8 +261,8 @@ def confirmed(df: DataFrame, clusters: DataFrame, id_col: str, text_col: str, wi
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of df: id_col, n_shingles, component_id (least id reachable), kept (id is its component's). Ids are integers."""
+def _classified(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, h, n, component, kept) for each row."""
     df = df.select(id_col, text_col)
     marks = kept(signatures(df, id_col, text_col, width))
     classes = kept(marks.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
@@ -267,7 +271,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clusters = kept(found.join(classes.select("rep", "n"), "rep"))
     joined = components(confirmed(df, clusters, id_col, text_col, width, percent))
     ends = classes.select("f1", "f2", "n", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = marks.select("id", "n", "f1", "f2").join(ends, ["f1", "f2", "n"], "left")
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), own).alias("component")).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    out = marks.select("id", "h", "n", "f1", "f2").join(ends, ["f1", "f2", "n"], "left")
+    own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+    return out.select("id", "h", "n", own.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of df: id_col, n_shingles, component_id (least id reachable), kept (id is its component's). Ids are integers."""
+    out = _classified(df, id_col, text_col, width, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df without near-duplicates: of each component the row with the least id; of rows with equal id and text one."""
+    stay = kept(_classified(df, id_col, text_col, width, percent).where("kept").groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.count(F.lit(1)).alias("k")))
+    if stay.count() <= BROADCAST_ROWS:
+        stay = F.broadcast(stay)
+    names = {f"x{i}": c for i, c in enumerate(df.columns)}
+    rows = df.select(*[F.col(c).alias(x) for x, c in names.items()], F.col(id_col).alias("id"), _text_hash(text_col).alias("h"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+    first = F.row_number().over(Window.partitionBy("id", "h").orderBy(*names))
+    more = rows.where("k > 1").withColumn("nr", first).where("nr = 1")
+    return rows.where("k = 1").select(*names).union(more.select(*names)).withColumnsRenamed(names)

@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytemill.llm.shared import kept
@@ -27,66 +28,66 @@ SLOTS, FEW = 50_000, 200_000
 _TIE = 40
 
 
-def _lookup(values: dict[int, int], key: str) -> Column:
-    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col(key))
+def _small(spark: SparkSession, **columns: list[int]) -> DataFrame:
+    """A broadcast table of one row a node: nodes are never more than shards."""
+    return F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})))
+
+
+def _bins(keyed: DataFrame, low: dict[int, int], high: dict[int, int], step: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """For each node the weights of the bins of its range that hold any, in order."""
+    nodes = list(low)
+    bounds = _small(keyed.sparkSession, node=nodes, low=[low[k] for k in nodes], high=[high[k] for k in nodes], step=[step[k] for k in nodes])
+    inside = keyed.join(bounds, "node").where("key >= low AND key < high")
+    found: dict[int, list] = {k: [] for k in nodes}
+    for r in inside.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("weight").alias("w")).collect():
+        found[r["node"]].append((r["bin"], r["w"]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _split(keyed: DataFrame, goal: dict[int, float], tolerance: float) -> dict[int, int]:
+    """For each node the key at which the weight below comes closest to its goal, found by ever finer histograms."""
+    low, high, below = ({k: v for k in goal} for v in (0, 1 << 60, 0))
+    found: dict[int, int] = {}
+    while active := [k for k in goal if k not in found]:
+        step = {k: max(1, -(-(high[k] - low[k]) // BINS)) for k in active}
+        counts = _bins(keyed, {k: low[k] for k in active}, {k: high[k] for k in active}, step)
+        for k in active:
+            at = below[k]
+            for b, w in counts[k]:
+                if at + w > goal[k]:
+                    start = low[k] + b * step[k]
+                    if step[k] == 1 or w <= tolerance:
+                        found[k] = start + step[k] if goal[k] - at > at + w - goal[k] else start
+                    else:
+                        low[k], high[k], below[k] = start, min(start + step[k], high[k]), at
+                    break
+                at += w
+            else:
+                found[k] = high[k]
+    return found
 
 
 def _leaves(groups: DataFrame, shards: int, load: list[float], target: float) -> DataFrame:
     """groups (h, weight, point, tie) with shard; load: weight dealt to each leaf beforehand."""
-    room = [max(target - x, target * 1e-6) for x in load]
-    now = groups.withColumn("node", F.lit(0).cast("long"))
-    nodes = {0: (0, shards)}  # number to its leaves
-    width = None
-    while any(b - a > 1 for a, b in nodes.values()):
-        open_ = {k: v for k, v in nodes.items() if v[1] - v[0] > 1}
-        spread = {r["node"]: r for r in now.where(F.col("node").isin(list(open_))).groupBy("node").agg(F.sum("weight").alias("w"), *[(F.max(F.col("point")[i]) - F.min(F.col("point")[i])).alias(f"s{i}") for i in range(3)]).collect()}
-        if width is None:
-            width = [max(spread[0][f"s{i}"], 1e-9) for i in range(3)] if 0 in spread else [1.0] * 3
-        dim = {k: max(range(3), key=lambda i: (spread[k][f"s{i}"] / width[i], -i)) if k in spread else 0 for k in open_}
-        key = F.shiftleft(F.least(F.lit((1 << 20) - 1), F.floor(F.element_at("point", (_lookup(dim, "node") + 1).cast("int")) * (1 << 20))).cast("long"), _TIE) + F.col("tie")
-        keyed = now.withColumn("key", F.when(F.col("node").isin(list(open_)), key))
-        goal, low, high, below = {}, {}, {}, {}
-        for k, (a, b) in open_.items():
-            m = (a + b) // 2
-            total = spread[k]["w"] if k in spread else 0
-            goal[k] = total * sum(room[a:m]) / sum(room[a:b])
-            low[k], high[k], below[k] = 0, 1 << 60, 0
-        active = set(k for k in open_ if k in spread)
-        while active:
-            step = {k: max(1, -(-(high[k] - low[k]) // BINS)) for k in active}
-            lows, highs = {k: low[k] for k in active}, {k: high[k] for k in active}
-            inside = keyed.where(F.col("node").isin(list(active))).where((F.col("key") >= _lookup(lows, "node")) & (F.col("key") < _lookup(highs, "node")))
-            bins = inside.groupBy("node", F.call_function("div", F.col("key") - _lookup(lows, "node"), _lookup(step, "node")).alias("bin"))
-            found: dict[int, list] = {k: [] for k in active}
-            for r in bins.agg(F.sum("weight").alias("w")).collect():
-                found[r["node"]].append((r["bin"], r["w"]))
-            for k in list(active):
-                at, done = below[k], True
-                for b, w in sorted(found[k]):
-                    if at + w > goal[k]:
-                        start = low[k] + b * step[k]
-                        if step[k] == 1 or w <= TOLERANCE * target:
-                            split = start + step[k] if goal[k] - at > at + w - goal[k] else start
-                        else:
-                            low[k], high[k], below[k], split, done = start, start + step[k], at, None, False
-                        break
-                    at += w
-                else:
-                    split = high[k]
-                if done:
-                    low[k] = split
-                    active.discard(k)
-        splits = {k: low[k] if k in spread else 0 for k in open_}
-        now = keyed.withColumn("node", F.when(F.col("key").isNull(), F.col("node") * 2).otherwise(F.col("node") * 2 + (F.col("key") >= F.coalesce(_lookup(splits, "node"), F.lit(0))).cast("long"))).drop("key")
-        after = {}
-        for k, (a, b) in nodes.items():
-            m = (a + b) // 2
-            if b - a > 1:
-                after[2 * k], after[2 * k + 1] = (a, m), (m, b)
-            else:
-                after[2 * k] = (a, b)
-        nodes = after
-    return now.withColumn("shard", _lookup({k: a for k, (a, _) in nodes.items()}, "node").cast("int"))
+    spark, room = groups.sparkSession, [max(target - x, target * 1e-6) for x in load]
+    now, nodes, width = groups.withColumn("node", F.lit(0).cast("long")), {0: (0, shards)}, None
+    while open_ := {k: v for k, v in nodes.items() if v[1] - v[0] > 1}:
+        sizes = now.groupBy("node").agg(F.sum("weight").alias("w"), *[(F.max(F.col("point")[i]) - F.min(F.col("point")[i])).alias(f"s{i}") for i in range(3)])
+        spread = {r["node"]: r for r in sizes.collect() if r["node"] in open_}
+        if not spread:
+            break
+        width = width or [max(spread[0][f"s{i}"], 1e-9) for i in range(3)]
+        dim = {k: max(range(3), key=lambda i: (r[f"s{i}"] / width[i], -i)) for k, r in spread.items()}
+        dims = _small(spark, node=list(dim), dim=list(dim.values()))
+        place = F.least(F.lit((1 << 20) - 1), F.floor(F.element_at("point", (F.col("dim") + 1).cast("int")) * (1 << 20))).cast("long")
+        keyed = kept(now.join(dims, "node", "left").withColumn("key", F.shiftleft(place, _TIE) + F.col("tie")).drop("dim"))
+        half = {k: (a + b) // 2 for k, (a, b) in open_.items()}
+        splits = _split(keyed, {k: spread[k]["w"] * sum(room[open_[k][0] : half[k]]) / sum(room[slice(*open_[k])]) for k in spread}, TOLERANCE * target)
+        cut = _small(spark, node=list(splits), split=list(splits.values()))
+        now = keyed.join(cut, "node", "left").withColumn("node", F.col("node") * 2 + F.when(F.col("key") >= F.col("split"), 1).otherwise(0)).drop("key", "split")
+        nodes = {2 * k + i: x for k, (a, b) in nodes.items() for i, x in enumerate([(a, half[k]), (half[k], b)] if k in open_ else [(a, b)])}
+    leaf = _small(spark, node=list(nodes), shard=[a for a, _ in nodes.values()])
+    return now.join(leaf, "node").withColumn("shard", F.col("shard").cast("int"))
 
 
 def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -87,7 +87,10 @@ def write(sources: DataFrame, folder: str, layout: str = "checked", suffix: str
     n = parts.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     whole = sources.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha")).join(n, "path", "left").fillna(0, ["n"])
     heads = whole.select("path", F.lit(-1).alias("chunk_idx"), header_bytes(made, F.col("size"), F.col("sha"), F.col("n")).alias("entry"), F.lit(None).cast("binary").alias("payload"))
-    rows = heads.union(parts.select("path", "chunk_idx", "entry", "payload")).repartition("path").sortWithinPartitions("path", "chunk_idx")
+    both = heads.union(parts.select("path", "chunk_idx", "entry", "payload"))
+    # one partition more than usual: a shuffle that the sides' own partitioning can't stand in for
+    apart = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    rows = both.repartition(apart, "path").sortWithinPartitions("path", "chunk_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, table, temporary = None, None, [], ""

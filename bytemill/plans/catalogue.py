@@ -26,8 +26,8 @@ def chunks(spark: SparkSession, d: str, size: int = ARCHIVE_CHUNK) -> DataFrame:
 
 
 def six(c: str) -> F.Column:
-    """A float as the oracle has it: six places, no negative zero."""
-    return (F.round(F.col(c), 6) + F.lit(0.0)).alias(c)
+    """A float as the oracle has it: six places by the same operations on doubles, so that ties fall alike."""
+    return (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
 
 
 def described_chunks(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def chunker_comparison(spark, d):
     for name in ("documents", "pages"):
         source = corpus(spark, d, name)
         for chunker in ("fixed_size", "content_aware"):
-            c = chunking.chunk(source, chunker).agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("length"), 6).alias("avg_length"), F.min("length").cast("long").alias("min_length"), F.max("length").cast("long").alias("max_length"))
+            c = chunking.chunk(source, chunker).agg(F.count(F.lit(1)).alias("chunks"), (F.floor(F.avg("length") * 1e6 + 0.5) / 1e6).alias("avg_length"), F.min("length").cast("long").alias("min_length"), F.max("length").cast("long").alias("max_length"))
             c = c.select(F.lit(name).alias("corpus"), F.lit(chunker).alias("chunker"), "chunks", "avg_length", "min_length", "max_length")
             out = c if out is None else out.union(c)
     return out

@@ -26,7 +26,7 @@ _VARIANCE = "((sum(n) * sum(v::BIGINT * v * n) - sum(v::BIGINT * n) * sum(v::BIG
 
 
 def six(expression: str) -> str:
-    return f"round(({expression})::DOUBLE, 6) + 0.0"
+    return f"floor(({expression})::DOUBLE * 1e6 + 0.5) / 1e6"
 
 
 def on_counts(select: str) -> str:
@@ -54,7 +54,7 @@ def comparison() -> str:
     for i, name in enumerate(("documents", "pages")):
         ctes += [src(name, f"s{i}"), chunks(4096, f"s{i}", f"f{i}"), runs(f"s{i}", f"w{i}")]
         for chunker, rows in (("fixed_size", f"(SELECT length(c) // 2 AS length FROM f{i})"), ("content_aware", f"w{i}_run")):
-            parts.append(f"SELECT '{name}' AS corpus, '{chunker}' AS chunker, count(*) AS chunks, round(avg(length)::DOUBLE, 6) AS avg_length, min(length)::BIGINT AS min_length, max(length)::BIGINT AS max_length FROM {rows}")
+            parts.append(f"SELECT '{name}' AS corpus, '{chunker}' AS chunker, count(*) AS chunks, {six("avg(length)")} AS avg_length, min(length)::BIGINT AS min_length, max(length)::BIGINT AS max_length FROM {rows}")
     return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(parts)
 
 
@@ -115,9 +115,10 @@ def sizes_text(n: str) -> str:
 
 def oracle() -> dict[str, str]:
     pair = f"""pairs AS (SELECT path, chunk_idx, substr(c, (2 * i + 1)::INT, 4) AS p FROM chunks, unnest(range(0, length(c) // 2 - 1)) AS t(i)),
-      pc AS (SELECT path, chunk_idx, p, count(*) AS n FROM pairs GROUP BY ALL),
-      pr AS (SELECT path, chunk_idx, n, row_number() OVER (PARTITION BY path, chunk_idx ORDER BY n DESC) - 1 AS rank FROM pc),
-      top AS (SELECT c.path, c.chunk_idx, k::INT AS rank, coalesce(pr.n / (length(c.c) // 2 - 1), 0) AS freq FROM chunks c CROSS JOIN unnest(range(0, 10)) AS t(k) LEFT JOIN pr ON pr.path = c.path AND pr.chunk_idx = c.chunk_idx AND pr.rank = k)"""
+      pc AS MATERIALIZED (SELECT path, chunk_idx, p, count(*) AS n FROM pairs GROUP BY ALL),
+      cl AS MATERIALIZED (SELECT path, chunk_idx, length(c) // 2 AS size FROM chunks),
+      pr AS MATERIALIZED (SELECT * FROM (SELECT path, chunk_idx, n, row_number() OVER (PARTITION BY path, chunk_idx ORDER BY n DESC) - 1 AS rank FROM pc) WHERE rank < 10),
+      top AS MATERIALIZED (SELECT c.path, c.chunk_idx, k::INT AS rank, coalesce(pr.n / (c.size - 1), 0) AS freq FROM cl c CROSS JOIN unnest(range(0, 10)) AS t(k) LEFT JOIN pr ON pr.path = c.path AND pr.chunk_idx = c.chunk_idx AND pr.rank = k)"""
     described = 'path, chunk_idx, "offset", (length(c) // 2)::BIGINT AS length, sha256(from_hex(c)) AS sha256'
     out = {
         "source_scan": f"WITH {src()} SELECT path, (length(h) // 2)::BIGINT AS length, sha256(from_hex(h)) AS sha256 FROM src",

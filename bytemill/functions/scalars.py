@@ -21,9 +21,9 @@ def ratio(original: Column, compressed: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with separators, or KB to TB with one decimal, base 1024."""
+    """Bytes with separators, or KB to TB with one decimal (ties to even), base 1024."""
     def scaled(power: int, unit: str) -> Column:
-        return F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {unit}"))
+        return F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))
 
     return (
         F.when(n < 1024, F.concat(F.format_number(n, 0), F.lit(" B")))

@@ -16,8 +16,10 @@ def chunks(size: int = 4096, source: str = "src", cte: str = "chunks") -> str:
     return f"{cte} AS MATERIALIZED (SELECT path, (o // {2 * size})::INT AS chunk_idx, (o // 2)::BIGINT AS \"offset\", substr(h, (o + 1)::INT, {2 * size}) AS c FROM {source}, unnest(range(0, length(h), {2 * size})) AS t(o))"
 
 
-COUNTS = """bytes AS (SELECT path, chunk_idx, ('0x' || substr(c, (2 * i + 1)::INT, 2))::INT AS v FROM chunks, unnest(range(0, length(c) // 2)) AS t(i)),
-counts AS MATERIALIZED (SELECT path, chunk_idx, v, count(*) AS n FROM bytes GROUP BY ALL)"""
+#: A list of numbers is made of each string before it is unnested: rows with a number each must not carry the string.
+_VALUES = "unnest(list_transform(range(0, length(c) // 2), lambda i: ('0x' || substr(c, (2 * i + 1)::INT, 2))::UTINYINT))"
+COUNTS = f"""bytes AS (SELECT path, chunk_idx, {_VALUES} AS v FROM chunks),
+counts AS MATERIALIZED (SELECT path, chunk_idx, v::INT AS v, count(*) AS n FROM bytes GROUP BY ALL)"""
 _PRINTABLE = "sum(CASE WHEN v IN (9, 10, 13) OR v BETWEEN 32 AND 126 THEN n ELSE 0 END) / sum(n)"
 _HEX = "sum(CASE WHEN v BETWEEN 48 AND 57 OR v BETWEEN 65 AND 70 OR v BETWEEN 97 AND 102 THEN n ELSE 0 END) / sum(n)"
 _ENTROPY = "(log2(sum(n)) - sum(n * log2(n)) / sum(n))"
@@ -35,8 +37,8 @@ def on_counts(select: str) -> str:
 
 def windows(source: str = "src", cte: str = "win") -> str:
     return f"""{chunks(WINDOW, source, f"{cte}_c")},
-    {cte}_b AS (SELECT path, chunk_idx, ('0x' || substr(c, (2 * i + 1)::INT, 2))::INT AS v FROM {cte}_c, unnest(range(0, length(c) // 2)) AS t(i)),
-    {cte}_n AS (SELECT path, chunk_idx, v, count(*) AS n FROM {cte}_b GROUP BY ALL),
+    {cte}_b AS (SELECT path, chunk_idx, {_VALUES} AS v FROM {cte}_c),
+    {cte}_n AS (SELECT path, chunk_idx, v::INT AS v, count(*) AS n FROM {cte}_b GROUP BY ALL),
     {cte} AS MATERIALIZED (SELECT path, chunk_idx AS win_idx, ({_PRINTABLE} >= {PRINTABLE} AND {_ENTROPY} < {ENTROPY} AND {_HEX} < {HEX}) AS is_text FROM {cte}_n GROUP BY path, chunk_idx)"""
 
 
@@ -114,7 +116,7 @@ def sizes_text(n: str) -> str:
 
 
 def oracle() -> dict[str, str]:
-    pair = f"""pairs AS (SELECT path, chunk_idx, substr(c, (2 * i + 1)::INT, 4) AS p FROM chunks, unnest(range(0, length(c) // 2 - 1)) AS t(i)),
+    pair = f"""pairs AS (SELECT path, chunk_idx, unnest(list_transform(range(0, length(c) // 2 - 1), lambda i: ('0x' || substr(c, (2 * i + 1)::INT, 4))::USMALLINT)) AS p FROM chunks),
       pc AS MATERIALIZED (SELECT path, chunk_idx, p, count(*) AS n FROM pairs GROUP BY ALL),
       cl AS MATERIALIZED (SELECT path, chunk_idx, length(c) // 2 AS size FROM chunks),
       pr AS MATERIALIZED (SELECT * FROM (SELECT path, chunk_idx, n, row_number() OVER (PARTITION BY path, chunk_idx ORDER BY n DESC) - 1 AS rank FROM pc) WHERE rank < 10),

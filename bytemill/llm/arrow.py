@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of the Arrow batches that Spark hands to Python; sessions that ask for less keep theirs.
+BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U64 = np.uint64
 #: White space of the word rule: 0x20 and 0x09 to 0x0D.
@@ -17,6 +23,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: Python workers live on, and so would the peak of each task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, and with memory released when a task ends."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of uint64."""
     x = x.astype(U64, copy=True)

@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from bytemill.llm.arrow import slices
+from bytemill.llm.arrow import mapped, slices
 
 #: Segments that a worker remembers, and the bytes of text that it encodes at once.
-CACHE, PIECE = 200_000, 10 << 20
+CACHE, PIECE = 200_000, 8 << 20
 #: Pre-tokens of more bytes than this go through the queue one by one; of the others, so many share one.
 LONG, TOGETHER = 256, 100_000
 #: Unicode White_Space, which `\s` means in the pattern.
@@ -318,9 +318,16 @@ def _tokens(lines: tuple[str, ...]) -> list[bytes]:
     return tokens
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
+def _decoded(tokens: list[bytes], at: list[int], ids: np.ndarray) -> list[bytes]:
+    """The bytes of ids[at[i]:at[i + 1]] for each i."""
+    return [b"".join(map(tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)]
+
+
+def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", carry: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
     """id_col, the columns carry, and the ids of the whole text (array of int; empty for null). No special tokens.
 
+    With decoded_col also the bytes that the ids decode to, in the same pass: what `decode` would give, without a second
+    Python worker and another trip of the ids through Arrow.
     The rank file (a fixed vocabulary, so of bounded size) is read on the driver and broadcast.
     """
     with open(rank_file) as f:
@@ -334,11 +341,16 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
             ids = encoder.encode_many(part.column("t").to_pylist())
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, out_col])
+            values = np.frombuffer(b"".join(ids), dtype=np.int32)
+            out = [*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            if decoded_col:
+                out.append(pa.array(_decoded(_tokens(held.value), offsets.tolist(), values), type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
-    schema = StructType([*(df.schema[c] for c in keep), StructField(out_col, ArrayType(IntegerType()))])
-    return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("t")).mapInArrow(run, schema)
+    made = [StructField(out_col, ArrayType(IntegerType())), *([StructField(decoded_col, BinaryType())] if decoded_col else [])]
+    schema = StructType([*(df.schema[c] for c in keep), *made])
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("t"))
+    return mapped(source, run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -351,11 +363,11 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "
         tokens = _tokens(held.value)
         for batch in batches:
             ids = batch.column(ids_col)
-            at, values, null = ids.offsets.to_numpy().tolist(), ids.values.to_numpy(zero_copy_only=False), ids.is_null().to_pylist()
-            texts = [None if z else b"".join(map(tokens.__getitem__, values[a:b].tolist())) for a, b, z in zip(at, at[1:], null, strict=False)]
+            found = _decoded(tokens, ids.offsets.to_numpy().tolist(), ids.values.to_numpy(zero_copy_only=False))
+            texts = [None if z else t for t, z in zip(found, ids.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], names=[*names, out_col])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
+    return mapped(df, run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
 
 
 def digest_of_ids(ids: Column) -> Column:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytemill.llm.arrow import mapped
 from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
@@ -284,7 +285,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     queries = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: (base + i).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "rep", "weight", "v")
     full = members.select("shard").distinct()  # a query asks no empty shard
     dealt = members.union(queries.join(F.broadcast(full), "shard").select(members.columns))
-    found = kept(dealt.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(_run(least), "rep long, links long, other long"))
+    found = kept(mapped(dealt.repartition("shard").sortWithinPartitions("shard", "asks"), _run(least), "rep long, links long, other long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     own = classes.select("mark", "rep", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

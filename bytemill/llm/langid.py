@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.llm.arrow import U64, mix, slices
+from bytemill.llm.arrow import U64, mapped, mix, slices
 from bytemill.llm.shared import kept
 
 ORDER, ROWS, PIECE, MEMO, MARGIN = 4, 1500, 2 << 20, 1 << 20, 2.0
@@ -191,7 +191,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 c, n = np.unique(code[langs == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    counted = sample.where("fit").select("lang", "t").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    counted = mapped(sample.where("fit").select("lang", "t"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     code, n, langs = counted["code"].to_numpy().view(U64), counted["n"].to_numpy(), np.asarray(counted["lang"].to_pylist(), dtype=object)
     languages = sorted(set(langs.tolist()))
     alphabet = len(np.unique(_low(code, 1))) + 1
@@ -210,7 +210,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([pa.array([languages[k] for k in j[ok]], type=pa.string()), pa.array(n[at].astype(np.int64)), pa.array(total[at, j[at]]), pa.array(squares[at, j[at]])], names=["lang", "n", "total", "squares"])
 
-    seen = sample.where("not fit").select("lang", "t").mapInArrow(calibrate, "lang string, n long, total double, squares double").toPandas()
+    seen = mapped(sample.where("not fit").select("lang", "t"), calibrate, "lang string, n long, total double, squares double").toPandas()
     limit = 3.0
     for x in languages:
         s = seen[seen.lang == x]
@@ -250,8 +250,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(lang), pa.array(np.where(n > 0, score, 0.0)), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, low, 0.0)), pa.array(rejected)], names=[*names, "lang_pred", "score", "n_symbols", "cross_entropy", "rejected"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in carry]
-    made = df.select(*[F.col(c).alias(x) for c, x in zip(carry, names, strict=True)], F.col(text_col).alias("t")).mapInArrow(
-        run, ", ".join([*(f"{x} {k}" for x, k in zip(names, kinds, strict=True)), "lang_pred string, score double, n_symbols long, cross_entropy double, rejected boolean"]))
+    source = df.select(*[F.col(c).alias(x) for c, x in zip(carry, names, strict=True)], F.col(text_col).alias("t"))
+    made = mapped(
+        source, run, ", ".join([*(f"{x} {k}" for x, k in zip(names, kinds, strict=True)), "lang_pred string, score double, n_symbols long, cross_entropy double, rejected boolean"]))
     return made.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 

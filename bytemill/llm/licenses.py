@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.llm.arrow import LOWER, U64, hash_spans, mix, slices, utf8, words
+from bytemill.llm.arrow import LOWER, U64, hash_spans, mapped, mix, slices, utf8, words
 
 PIECE, LEAST = 2 << 20, 0.8
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -135,4 +135,4 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([b and b["license"] for b in best], pa.string()), pa.array([b and b["dice"] for b in best], pa.float64()), pa.array(found, kind)], names=[id_col, "license", "dice", "matches"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, license string, dice double, matches array<struct<start: long, end: long, license: string, dice: double>>")
+    return mapped(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, f"`{id_col}` {kind}, license string, dice double, matches array<struct<start: long, end: long, license: string, dice: double>>")

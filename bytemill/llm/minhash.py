@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytemill.llm.arrow import LOWER, U64, constants, groups, hash_spans, mix, slices, utf8, words
+from bytemill.llm.arrow import LOWER, U64, constants, groups, hash_spans, mapped, mix, slices, utf8, words
 from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
@@ -100,7 +100,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             raw = [x.tobytes() if k else None for x, k in zip(sig, size, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(raw, type=pa.binary())], names=["id", "h", "n", "f1", "f2", "sig"])
 
-    return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, h long, n long, f1 long, f2 long, sig binary")
+    return mapped(df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("t")), run, f"id {df.schema[id_col].dataType.simpleString()}, h long, n long, f1 long, f2 long, sig binary")
 
 
 def _spanning(values: np.ndarray, likely: int) -> list[tuple[int, int]]:
@@ -189,7 +189,7 @@ def candidates(classes: DataFrame, likely: float = LIKELY) -> DataFrame:
         found = found.union(_blocks(large.join(classes.hint("merge"), "rep")))
     rows = found.join(classes.hint("merge"), "rep").select("key", "rep", "sig")
     # `key` is sorted within a partition, so each region's rows are neighbours
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(round(likely * K)), "a long, b long")
+    return mapped(rows.repartition("key").sortWithinPartitions("key"), _candidates(round(likely * K)), "a long, b long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def confirmed(df: DataFrame, clusters: DataFrame, id_col: str, text_col: str, wi
                 a, b = np.array(e).T
                 yield pa.RecordBatch.from_arrays([pa.array(rep[one][a]), pa.array(rep[one][b])], names=["a", "b"])
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return mapped(dealt.repartition("key").sortWithinPartitions("key"), run, "a long, b long")
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:

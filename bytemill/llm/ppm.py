@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.llm.arrow import LOWER, U64, hash_spans, slices, utf8, words
+from bytemill.llm.arrow import LOWER, U64, hash_spans, mapped, slices, utf8, words
 from bytemill.llm.shared import kept
 
 ORDER, NODES, WORDS, PIECE = 5, 4_000_000, 6_000_000, 2 << 20
@@ -157,7 +157,7 @@ class Model:
 
 def train(df: DataFrame, text_col: str = "text", nodes: int = NODES) -> Model:
     """A model of all texts of df."""
-    counted = df.select(F.col(text_col).alias("t")).mapInArrow(_count, "kind int, key long, n long")
+    counted = mapped(df.select(F.col(text_col).alias("t")), _count, "kind int, key long, n long")
     table = kept(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = table.where("kind = 1").agg(F.sum("n"), F.count(F.lit(1))).first()
     trie = table.where("kind = 0")
@@ -223,7 +223,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     source = df.select(*[c.alias(x) for x, c in zip(names, carry.values(), strict=True)], F.col(text_col).alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    made = source.mapInArrow(run, f"{kinds}, n_tokens long, score double, n_bytes long, " + ("n_known long, base_score double" if known else "words array<long>"))
+    made = mapped(source, run, f"{kinds}, n_tokens long, score double, n_bytes long, " + ("n_known long, base_score double" if known else "words array<long>"))
     if not known:
         made = kept(made.withColumn("row", F.monotonically_increasing_id()))
         said = made.select("row", F.explode("words").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))

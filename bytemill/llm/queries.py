@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe, chat, hnsw, kdshard, langid, licenses, minhash, mixing, ppm, topk
+from bytemill.llm import bpe, chat, hnsw, kdshard, langid, licenses, minhash, mixing, ppm, sql, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document and the text that they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(ids, ranks).select(
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
+    return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.digest_of_ids(F.col("ids")).alias("ids_sha256"),
@@ -107,13 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     dims = {k: e.format(text="encode(text)") for k, e in MIX.items()}
-    top = """
-        WITH fine AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) AS n FROM embeddings
-          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        scored AS (
-          SELECT q.rowid AS r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-          FROM (SELECT *, row_number() OVER () AS rowid FROM fine WHERE vec_id % 50 = 0) q JOIN fine c ON q.n = c.n AND q.vec_id <> c.vec_id)
-        SELECT query_id, rank::INT AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
-    return {"op5_topk": top, "op9_mixing": mixing.sql(dims, "coalesce(octet_length(encode(text)), 0) // 4 + 1", MIX_SHARE)}
+    return {"op4_minhash": sql.NEAR_DUPLICATES, "op5_topk": sql.TOP_K, "op7_chat": sql.CHAT, "op8_hnsw": sql.NEAR_VECTORS, "op9_mixing": mixing.sql(dims, "coalesce(octet_length(encode(text)), 0) // 4 + 1", MIX_SHARE)}

@@ -37,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, and whether they decode to its very text."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, carry=["lang", "source", "text"])
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, carry=["lang", "source", "text"], decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return bpe.decode(ids, ranks).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", tokenize)]

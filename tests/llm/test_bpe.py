@@ -50,6 +50,8 @@ def test_frame_with_nulls_repeats_and_clashing_names(spark):
     out = bpe.decode(bpe.encode(df, FILE, P.PATTERN), FILE).withColumn("text", F.col("decoded").cast("string"))
     got = sorted(((r.doc_id or 0, len(r.ids), r.text) for r in out.collect()))
     assert [(i, t) for i, _, t in got] == [(0, "abc"), (1, ""), (2, ""), (3, "Hello wörld"), (3, "Hello wörld")]
+    once = bpe.encode(df, FILE, P.PATTERN, decoded_col="back")
+    assert sorted((r.doc_id or 0, bytes(r.back).decode()) for r in once.collect()) == [(i, t) for i, _, t in got]
     assert bpe.encode(df.limit(0), FILE, P.PATTERN).count() == 0
 
 

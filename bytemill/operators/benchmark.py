@@ -23,14 +23,14 @@ def run_all(chunks: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     times that a strategy needs (for the ceiling: of all codecs in the search).
     """
     names = ["store", "gzip", "bzip2", "lzma", "zstd"]
-    sized = labeling.sizes(chunks, names)
-    best = labeling.best(sized.drop("size_gzip", "time_gzip")).select("path", "chunk_idx", "best_size")
-    rows = sized.join(best, ["path", "chunk_idx"])
-    searched = sum(F.col(f"time_{c}") for c in names if c != "gzip")
+    if model is not None:
+        chunks = selection.predict(chunks, model)
+    rows = labeling.sizes(chunks, names, keep=["algorithm"] if model is not None else None)
+    searched = [c for c in names if c != "gzip"]
     strategies = [F.struct(F.lit(f"always_{c}").alias("name"), F.col(f"size_{c}").alias("size"), F.col(f"time_{c}").alias("s")) for c in ("store", "gzip", "zstd")]
-    strategies.append(F.struct(F.lit("brute_force_ceiling").alias("name"), F.col("best_size").alias("size"), searched.alias("s")))
+    best, spent = F.least(*[F.col(f"size_{c}") for c in searched]), sum(F.col(f"time_{c}") for c in searched)
+    strategies.append(F.struct(F.lit("brute_force_ceiling").alias("name"), best.alias("size"), spent.alias("s")))
     if model is not None:
-        rows = rows.join(selection.predict(chunks, model).select("path", "chunk_idx", "algorithm"), ["path", "chunk_idx"])
         pick = lambda kind: F.try_element_at(F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"{kind}_{c}"))]), F.col("algorithm"))
         strategies.append(F.struct(F.lit("model_predicted").alias("name"), pick("size").alias("size"), pick("time").alias("s")))
     flat = rows.select("length", F.explode(F.array(*strategies)).alias("r")).select("length", "r.*")

@@ -14,10 +14,10 @@ from bytemill.schema import DATASET_CHUNK, check_chunking
 
 
 def rows(sources: DataFrame, chunker: str = "fixed_size", chunk_size: int = DATASET_CHUNK) -> DataFrame:
-    """features, size_ and time_ columns, best_algorithm, best_size, source_file of every chunk."""
-    chunks = chunking.chunk(sources, chunker, chunk_size)
-    labelled = labeling.label(chunks).drop("length")
-    return features.feature_rows(chunks).join(labelled, ["path", "chunk_idx"]).withColumn("source_file", F.col("path")).drop("path")
+    """features, size_ and time_ columns, best_algorithm, best_size, source_file of every chunk, in one narrow stage."""
+    labelled = labeling.label(chunking.chunk(sources, chunker, chunk_size), keep=["content"])
+    rest = [c for c in labelled.columns if c not in ("path", "chunk_idx", "length", "content")]
+    return features.feature_rows(labelled, keep=rest).withColumn("source_file", F.col("path")).drop("path")
 
 
 def config_key(chunker: str, chunk_size: int) -> str:

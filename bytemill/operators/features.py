@@ -16,17 +16,24 @@ from bytemill.schema import FEATURES, SCALARS
 _WIDE = 5 + 256
 
 
-def feature_rows(chunks: DataFrame) -> DataFrame:
-    """path, chunk_idx, the five scalars, hist (256 shares) and bigram (ten shares). No byte crosses a shuffle."""
+def feature_rows(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """path, chunk_idx, the five scalars, hist (256 shares) and bigram (ten shares), and the columns keep of chunks.
+
+    What needs a chunk's other columns beside its features keeps them here, so nothing is joined and no byte crosses a shuffle.
+    """
+    carried = {f"_{i}": c for i, c in enumerate(keep or [])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, n = kernels.features(batch.column("content")), batch.num_rows
+            f = kernels.features(batch.column("content"))
             hist = pa.FixedSizeListArray.from_arrays(pa.array(f[:, 5:_WIDE].ravel()), 256).cast(pa.list_(pa.float64()))
             pairs = pa.FixedSizeListArray.from_arrays(pa.array(f[:, _WIDE:].ravel()), f.shape[1] - _WIDE).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("chunk_idx"), pa.array(f[:, 0].astype(np.int32)), *(pa.array(f[:, i]) for i in range(1, 5)), hist, pairs], names=["path", "chunk_idx", *SCALARS, "hist", "bigram"]) if n else batch
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("chunk_idx"), pa.array(f[:, 0].astype(np.int32)), *(pa.array(f[:, i]) for i in range(1, 5)), hist, pairs, *(batch.column(c) for c in carried)], names=["path", "chunk_idx", *SCALARS, "hist", "bigram", *carried])
 
-    return chunks.select("path", "chunk_idx", "content").mapInArrow(run, "path string, chunk_idx int, length int, entropy double, printable_ratio double, byte_mean double, byte_variance double, hist array<double>, bigram array<double>")
+    source = chunks.select("path", "chunk_idx", "content", *[F.col(c).alias(n) for n, c in carried.items()])
+    kept = "".join(f", {n} {source.schema[n].dataType.simpleString()}" for n in carried)
+    made = source.mapInArrow(run, "path string, chunk_idx int, length int, entropy double, printable_ratio double, byte_mean double, byte_variance double, hist array<double>, bigram array<double>" + kept)
+    return made.select(*made.columns[: len(made.columns) - len(carried)], *[F.col(n).alias(c) for n, c in carried.items()])
 
 
 def wide(features: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str
     tried = algorithms if algorithms is not None else codecs.names(installed=True)
     codecs.check_names(*tried)
     kept = ["path", "chunk_idx", *(keep or [])]
+    taken = [f"_{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = {c: codecs.get(c).compressor(codecs.get(c).level) for c in tried}
@@ -34,10 +35,10 @@ def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str
                     size.append(len(f(x)))
                     spent.append(time.perf_counter() - began)
                 columns[f"size_{c}"], columns[f"time_{c}"] = pa.array(size, pa.int64()), pa.array(spent, pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([len(x) for x in data], pa.int32()), *columns.values()], names=[*kept, "length", *columns])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array([len(x) for x in data], pa.int32()), *columns.values()], names=[*kept, "length", *columns])
 
-    source = chunks.select(*kept, "content")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    source = chunks.select(*[F.col(c).alias(n) for n, c in zip(taken, kept, strict=True)], "content")
+    kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(kept, source.schema.fields, strict=False)]
     return source.mapInArrow(run, ", ".join([*kinds, "length int", *(f"size_{c} long, time_{c} double" for c in tried)]))
 
 

@@ -111,9 +111,10 @@ def load(path: str) -> PipelineModel:
 
 
 def predict(chunks: DataFrame, model: PipelineModel) -> DataFrame:
-    """chunks with the algorithm that the model picks for each."""
-    found = model.transform(with_vector(feature_rows(chunks))).select("path", "chunk_idx", "algorithm")
-    return chunks.join(found, ["path", "chunk_idx"])
+    """chunks with the algorithm that the model picks for each; no shuffle."""
+    rest = [c for c in chunks.columns if c not in ("path", "chunk_idx", "length")]
+    found = model.transform(with_vector(feature_rows(chunks, keep=rest)))
+    return found.select(*chunks.columns, "algorithm")
 
 
 def compression_ratio(labelled: DataFrame, algorithm: str = "algorithm") -> DataFrame:

@@ -289,9 +289,8 @@ def selector_predict(spark, d):
 
 
 def selector_ratio(spark, d):
-    c = chunks(spark, d)
-    sized = labeling.label(c).join(selection.predict(c, _selector(spark, d)).select("path", "chunk_idx", "algorithm"), ["path", "chunk_idx"])
-    return selection.compression_ratio(sized)
+    found = selection.predict(chunks(spark, d), _selector(spark, d))
+    return selection.compression_ratio(labeling.label(found, keep=["algorithm"]))
 
 
 def benchmark_strategies(spark, d):

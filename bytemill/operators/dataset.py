@@ -20,6 +20,19 @@ def rows(sources: DataFrame, chunker: str = "fixed_size", chunk_size: int = DATA
     return features.feature_rows(labelled, keep=rest).withColumn("source_file", F.col("path")).drop("path")
 
 
+def rows_and_errors(sources: DataFrame, chunker: str = "fixed_size", chunk_size: int = DATASET_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """rows of the sources all of whose chunks could be labelled, and (source_file, error) of the others."""
+    return parted(labeling.label(chunking.chunk(sources, chunker, chunk_size), keep=["content"], errors=True))
+
+
+def parted(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dataset rows of sources without an error, and the first error of each of the others."""
+    failed = labelled.where("error is not null").groupBy(F.col("path").alias("source_file")).agg(F.min("error").alias("error"))
+    rest = [c for c in labelled.columns if c not in ("path", "chunk_idx", "length", "content", "error")]
+    made = features.feature_rows(labelled.where("error is null"), keep=rest).withColumn("source_file", F.col("path")).drop("path")
+    return made.join(failed.select("source_file"), "source_file", "left_anti"), failed
+
+
 def config_key(chunker: str, chunk_size: int) -> str:
     """The part of a shard's name that changes whenever what is in it would."""
     return hashlib.sha256(json.dumps([chunker, chunk_size]).encode()).hexdigest()[:12]
@@ -71,14 +84,3 @@ def save(df: DataFrame, path: str) -> None:
         df.select(*keep, *(flat if "hist" in df.columns else [])).write.mode("overwrite").option("header", "true").csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
-
-
-def isolated(sources: DataFrame, work, error_class: type[Exception] = Exception) -> tuple[list, list[tuple[str, str]]]:
-    """Runs work(one source) for each path of a small list of files; returns results and (path, error) of those that failed."""
-    out, failed = [], []
-    for r in sources.select("path").collect():
-        try:
-            out.append(work(sources.where(F.col("path") == r["path"])))
-        except error_class as e:
-            failed.append((r["path"], str(e)))
-    return out, failed

@@ -16,8 +16,11 @@ from bytemill.functions import codecs
 from bytemill.schema import CODECS
 
 
-def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """path, chunk_idx, length, keep, and size_<codec> and time_<codec> (seconds) for each codec, by default those of a search that can run."""
+def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """path, chunk_idx, length, keep, and size_<codec> and time_<codec> (seconds) for each codec, by default those of a search that can run.
+
+    With errors, a chunk that can't be compressed does not end the job: its sizes are null and the column error says why.
+    """
     tried = algorithms if algorithms is not None else codecs.names(installed=True)
     codecs.check_names(*tried)
     kept = ["path", "chunk_idx", *(keep or [])]
@@ -27,19 +30,27 @@ def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str
         press = {c: codecs.get(c).compressor(codecs.get(c).level) for c in tried}
         for batch in batches:
             data = batch.column("content").to_pylist()
-            columns = {}
+            columns, failed = {}, [None] * len(data)
             for c, f in press.items():
                 size, spent = [], []
-                for x in data:
+                for i, x in enumerate(data):
                     began = time.perf_counter()
-                    size.append(len(f(x)))
+                    try:
+                        size.append(len(f(x)))
+                    except Exception as e:
+                        if not errors:
+                            raise
+                        size.append(None)
+                        failed[i] = f"{c}: {e}"
                     spent.append(time.perf_counter() - began)
                 columns[f"size_{c}"], columns[f"time_{c}"] = pa.array(size, pa.int64()), pa.array(spent, pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array([len(x) for x in data], pa.int32()), *columns.values()], names=[*kept, "length", *columns])
+            if errors:
+                columns["error"] = pa.array(failed, pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array([len(x or b"") for x in data], pa.int32()), *columns.values()], names=[*kept, "length", *columns])
 
     source = chunks.select(*[F.col(c).alias(n) for n, c in zip(taken, kept, strict=True)], "content")
     kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(kept, source.schema.fields, strict=False)]
-    return source.mapInArrow(run, ", ".join([*kinds, "length int", *(f"size_{c} long, time_{c} double" for c in tried)]))
+    return source.mapInArrow(run, ", ".join([*kinds, "length int", *(f"size_{c} long, time_{c} double" for c in tried), *(["error string"] if errors else [])]))
 
 
 def best(sized: DataFrame) -> DataFrame:
@@ -50,9 +61,9 @@ def best(sized: DataFrame) -> DataFrame:
     return sized.withColumn("best_algorithm", name).withColumn("best_size", least)
 
 
-def label(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def label(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str] | None = None, errors: bool = False) -> DataFrame:
     """Sizes, seconds, and the winner of each chunk."""
-    return best(sizes(chunks, algorithms, keep))
+    return best(sizes(chunks, algorithms, keep, errors))
 
 
 def long_form(sized: DataFrame) -> DataFrame:

@@ -105,6 +105,15 @@ def test_dataset_resumes_by_configuration(spark, tmp_path):
         dataset.build(built, shards, chunk_size=0)
 
 
+def test_a_source_that_fails_leaves_the_others_alone(spark):
+    chunks = spark.createDataFrame([("a", 0, b"xx"), ("b", 0, None), ("b", 1, b"y"), ("c", 0, b"z")], "path string, chunk_idx int, content binary")
+    good, failed = dataset.parted(labeling.label(chunks, keep=["content"], errors=True))
+    assert sorted(r["source_file"] for r in good.collect()) == ["a", "c"] and [r["source_file"] for r in failed.collect()] == ["b"]
+    sources = spark.createDataFrame([("p", b"q" * 3000)], "path string, content binary")
+    good, failed = dataset.rows_and_errors(sources, chunk_size=1024)
+    assert good.count() == 3 and failed.count() == 0
+
+
 def test_long_form_and_named_codecs(spark):
     chunk = spark.createDataFrame([("a", 0, b"zz" * 400)], "path string, chunk_idx int, content binary")
     rows = labeling.long_form(labeling.sizes(chunk, ["store", "gzip"])).collect()

@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     ignored. Each round is written to the shared folder, so a lost executor costs no more than one round. What a
     node gathers is bounded by partial aggregation: the least of its neighbours, never a list.
     """
-    edges = edges.select("a", "b").where("a <> b").distinct()
+    edges = kept(edges.select("a", "b").where("a <> b").distinct())  # it is read twice, and may be dear
     now = kept(_small(edges))
     seen = None
     for _ in range(MOST):

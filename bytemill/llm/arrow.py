@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ def release() -> None:
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with batches of bounded bytes, and with memory released when a task ends."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_KEY).rstrip("bB")) <= BATCH_BYTES:
+    size = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(BATCH_KEY).strip().lower())
+    if not size or not 0 < int(size[1]) << 10 * " kmgt".index(size[2] or " ") <= BATCH_BYTES:
         conf.set(BATCH_KEY, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

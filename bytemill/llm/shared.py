@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def folder(spark: SparkSession) -> str:
     """This application's own place in the shared folder; it may be deleted when the application has ended.
 
-    Where spark.checkpoint.dir is unset a local master gets a temporary folder and a cluster an error.
+    Where spark.checkpoint.dir is unset a local master gets a temporary folder, which goes when Python ends, and a cluster an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bytemill-"))
+        sc.setCheckpointDir(made := tempfile.mkdtemp(prefix="bytemill-"))
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         found = sc.getCheckpointDir()
     return f"{found.rstrip('/')}/bytemill-{sc.applicationId}"
 

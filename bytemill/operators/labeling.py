@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytemill.functions import codecs
+from bytemill.operators.spread import spread
 from bytemill.schema import CODECS
 
 
@@ -48,7 +49,7 @@ def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str
                 columns["error"] = pa.array(failed, pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array([len(x or b"") for x in data], pa.int32()), *columns.values()], names=[*kept, "length", *columns])
 
-    source = chunks.select(*[F.col(c).alias(n) for n, c in zip(taken, kept, strict=True)], "content")
+    source = spread(chunks).select(*[F.col(c).alias(n) for n, c in zip(taken, kept, strict=True)], "content")
     kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(kept, source.schema.fields, strict=False)]
     return source.mapInArrow(run, ", ".join([*kinds, "length int", *(f"size_{c} long, time_{c} double" for c in tried), *(["error string"] if errors else [])]))
 
@@ -90,4 +91,4 @@ def squeezed(chunks: DataFrame, algorithms: list[str] | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name), pa.array(payload, pa.binary())], names=[*kept, "algorithm", "payload"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return chunks.mapInArrow(run, f"{kinds}, algorithm string, payload binary")
+    return spread(chunks).mapInArrow(run, f"{kinds}, algorithm string, payload binary")

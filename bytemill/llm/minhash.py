@@ -7,11 +7,11 @@ whose id is null takes no part: it stays, with no component. Equal rows and equa
 
 1. One scan gives each document its set's size and 128-bit fingerprint and K MinHash values of 16 bits.
 2. Classes of equal fingerprints are aggregated to their least id, so copies cost nothing further on.
-3. The forest: TREES orders of the K values. A region is a group of classes with the same first values of one
-   order, as many as the first of DEPTHS says. A region with more than REGION members is descended to the next depth; what is larger
-   even at the last is cut into blocks along the order, each with the region's least member. So depth adapts to each
-   region and no task sees more than a block. Within a region a search from each unvisited member over the rest finds
+3. The forest: TREES orders of the K values. A region is a group of classes with the same first DEPTH values of one
+   order. Within a region a search from each unvisited member over the rest finds
    those whose values agree often enough for the threshold (LIKELY, five deviations below it).
+   A region with more than REGION members is searched whole as well, in pairs of blocks, so no task sees more than two blocks.
+   Members that agree with the region's least member are connected by that; pairs of them need no search, and all other pairs get one.
    A pair at the threshold meets in a given tree with probability 0.8**3, and in none of 16 with 1e-5.
 4. Components of these candidates are clusters. The texts of a cluster meet in one task, or where they
    are many, in one task per pair of its blocks, and there links are confirmed by exact intersection sizes out of an
@@ -33,8 +33,8 @@ from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
 TREES, PER_TREE = 16, 6
-#: How many values of a tree's order make a region's key: at first, and where a region is too large, and at the deepest.
-DEPTHS = (3, 6, 10)
+#: How many values of a tree's order make a region's key.
+DEPTH = 3
 K = TREES * PER_TREE
 REGION, PIECE = 1024, 2 << 20
 #: Share of equal MinHash values from which a pair becomes a candidate, for the threshold 0.8.
@@ -165,40 +165,47 @@ def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBat
         yield from out(held)
 
 
-def _rotated(tree: str = "tree") -> str:
-    """SQL for the tree's own order of the values."""
-    at = f"{tree} * {2 * PER_TREE}"
-    return f"concat(substring(sig, {at} + 1), substring(sig, 1, {at}))"
-
-
 def candidates(classes: DataFrame, likely: float = LIKELY) -> DataFrame:
     """Edges (a, b) between classes (rep, sig) that the forest finds alike; repeats possible."""
     level = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    found = None
-    for depth in DEPTHS:
-        keyed = level.select("rep", "tree", F.expr(f"xxhash64(tree, substring({_rotated()}, 1, {2 * depth}))").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1")
-        met = kept(keyed.join(shared.hint("merge"), "key"))
-        fit = met.where(F.col("size") <= REGION).select("key", "rep")
-        found = fit if found is None else found.union(fit)
-        large = met.where(F.col("size") > REGION)
-        if large.isEmpty():
-            break
-        level = large.select("rep", "tree").join(classes.hint("merge"), "rep")
-    else:
-        found = found.union(_blocks(large.join(classes.hint("merge"), "rep")))
+    keyed = level.select("rep", F.expr(f"xxhash64(tree, substring(sig, tree * {2 * PER_TREE} + 1, {2 * DEPTH}))").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1")
+    met = kept(keyed.join(shared.hint("merge"), "key"))
+    found = met.where(F.col("size") <= REGION).select("key", "rep")
+    large, edges = met.where(F.col("size") > REGION), None
+    if not large.isEmpty():
+        marked = kept(_marked(large, classes, round(likely * K)))
+        edges = marked.where("not loose and rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+        found = found.union(_blocks(marked))
     rows = found.join(classes.hint("merge"), "rep").select("key", "rep", "sig")
     # `key` is sorted within a partition, so each region's rows are neighbours
-    return mapped(rows.repartition("key").sortWithinPartitions("key"), _candidates(round(likely * K)), "a long, b long")
+    met_in = mapped(rows.repartition("key").sortWithinPartitions("key"), _candidates(round(likely * K)), "a long, b long")
+    return met_in if edges is None else met_in.union(edges)
+
+
+def _marked(large: DataFrame, classes: DataFrame, likely: int) -> DataFrame:
+    """(key, rep, least, loose) for the members of large regions; loose: agrees with the region's least member in fewer than `likely` places."""
+    rows = large.join(classes.hint("merge"), "rep").select("key", "rep", "least", "sig")
+    hubs = kept(rows.where("rep = least").select("key", F.col("sig").alias("hub")))
+    if hubs.count() <= BROADCAST_ROWS // 10:
+        hubs = F.broadcast(hubs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, hub = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, K) for c in ("sig", "hub"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "rep", "least")), pa.array((sig == hub).sum(axis=1) < likely)], names=["key", "rep", "least", "loose"])
+
+    return mapped(rows.join(hubs, "key").select("key", "rep", "least", "sig", "hub"), run, "key long, rep long, least long, loose boolean")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Regions too large even at the deepest level, in blocks by the next values and by id; each block also holds the region's least member."""
-    parts = F.ceil(F.col("size") / F.lit(REGION / 2)).cast("int")
-    next_values = F.expr(f"xxhash64(substring({_rotated()}, {2 * DEPTHS[-1] + 1}, 4))")
-    dealt = rows.select("rep", "least", F.xxhash64("key", F.pmod(next_values, parts), F.pmod(F.xxhash64("rep"), parts)).alias("key"))
-    hubs = dealt.groupBy("key").agg(F.min("least").alias("rep"))
-    return dealt.where("rep <> least").select("key", "rep").union(hubs)
+def _blocks(marked: DataFrame) -> DataFrame:
+    """(key, rep): large regions cut into blocks, with a key for each pair of blocks that has loose members."""
+    count = lambda of: F.ceil(F.count(F.when(of, 1)) / F.lit(REGION / 2)).cast("int")
+    sizes = marked.groupBy("key").agg(count(F.col("loose")).alias("l"), count(~F.col("loose")).alias("m")).where("l > 0")
+    at = F.when(F.col("loose"), F.pmod(F.xxhash64("rep"), F.col("l"))).otherwise(F.col("l") + F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int")
+    last = F.when(F.col("loose"), F.col("l") + F.col("m")).otherwise(F.col("l")) - 1
+    dealt = marked.join(sizes.hint("merge"), "key").select("key", "rep", at.alias("p"), F.explode(F.sequence(F.lit(0), last)).alias("q")).where("p <> q")
+    return dealt.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "rep")
 
 
 def _linked(cut: np.ndarray, made: np.ndarray, percent: int) -> list[tuple[int, int]]:

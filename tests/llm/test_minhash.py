@@ -68,6 +68,19 @@ def test_regions_and_clusters_that_must_be_split(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 4, 80)
 
 
+def test_pairs_at_the_threshold_in_a_family_of_unlike_members(spark, monkeypatch):
+    """Members agree where a tree's key begins, in half of their values; each has one partner with 80 of 96 values, that differs early in every tree."""
+    monkeypatch.setattr(minhash, "REGION", 16)
+    r, n = np.random.default_rng(8), 50
+    ones = r.integers(0, 1 << 16, (n, minhash.TREES, minhash.PER_TREE), dtype=np.uint16)
+    ones[:, :, :3] = ones[0, :, :3]
+    others = ones.copy()
+    others[:, :, 4] += 1
+    rows = [(2 * i + k, bytearray(x[i].tobytes())) for k, x in enumerate((ones, others)) for i in range(n)]
+    met = {(min(e), max(e)) for e in minhash.candidates(spark.createDataFrame(rows, "rep long, sig binary")).collect()}
+    assert met == {(2 * i, 2 * i + 1) for i in range(n)}
+
+
 def test_nulls_empties_repeats_and_clashing_names(spark):
     long = "word " * 200_000
     rows = [(1, None, 0), (2, "", 0), (3, " \n", 0), (None, "a b c d e f", 0), (5, "a b c d e f", 1), (6, "A b c d e  f", 1), (6, "A b c d e  f", 1), (7, long, 2), (8, long + "x", 2)]

@@ -4,7 +4,7 @@ A turn becomes `<s>[role]` + newline + text + `</s>` + newline. In roles and tex
 each control string (in a role, before `]` and behind `[` and `<`), so no text can end a turn and `unescape` gives back the exact
 text. Loss covers assistant texts only.
 
-Conversations are sorted by their first turns' hashes, which is depth-first order of the tree of shared turns. A task reads
+Conversations are ranked by the hashes of all their turns, which is depth-first order of the tree of shared turns. A task reads
 its range of that order as a stream: turns that a conversation shares with the one before are not written again,
 the others are appended to the task's pack. Each written turn (a node) has its offset in the pack, the position ids
 it starts at (its offset in its own conversation), and the intervals of the pack that its ancestors take up, which is what its
@@ -12,8 +12,8 @@ characters may attend to besides those before them in the turn. Each conversatio
 that spans several tasks repeats the path to its first conversation in each, nothing else; so a first turn that a third of all
 conversations share costs one copy a task, and equal conversations spread over tasks as well.
 
-Rows go by (turn, role, text), nulls first. A null role or text counts as empty; a null conv_id is a conversation. A
-conversation is never held as a whole: only its open path is, to SHARED turns; deeper turns are always written.
+Rows go by (turn, role, text), nulls first. A null role or text counts as empty; a null conv_id is a conversation. The
+texts of a conversation are never held as a whole, only the hashes of its turns for the ranking, and its open path to SHARED turns; deeper turns are always written.
 Repeated rows are repeated turns. Columns other than the four are ignored.
 """
 
@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Turns whose hashes make the sort key, turns of a path that can be shared, and rows of an output batch.
-SORTED, SHARED, ROWS = 16, 1024, 2000
+from bytemill.llm.shared import kept
+
+#: Turns of a path that can be shared, and rows of an output batch.
+SHARED, ROWS = 1024, 2000
 ASSISTANT = "assistant"
 _CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?SYS>>|<\|")
 _ROLE = re.compile(r"\\|\]|(?<=[<\[])[^\\\]]", re.DOTALL)
@@ -132,8 +134,11 @@ def pack(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     own = Window.partitionBy("conv_id")
     mark = F.substring(F.md5(F.concat_ws("\0", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))), 1, 8)
     rows = rows.withColumn("nr", F.row_number().over(own.orderBy(*order)))
-    rows = rows.withColumn("path", F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nr") <= SORTED, F.struct("nr", mark.alias("m")))).over(own)), lambda x: x["m"]), ""))
-    dealt = rows.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id", "nr").select("conv_id", "role", "text")
+    marks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nr", mark.alias("m")))).alias("marks"))
+    paths = marks.select("conv_id", F.array_join(F.transform("marks", lambda x: x["m"]), "").alias("path"))
+    ranks = kept(paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select(F.col("conv_id").alias("c"), F.monotonically_increasing_id().alias("rank")))
+    ranked = rows.join(ranks, F.col("conv_id").eqNullSafe(F.col("c")))
+    dealt = ranked.repartitionByRange("rank").sortWithinPartitions("rank", "nr").select("conv_id", "role", "text")
     kind = NODES.format(id=df.schema[conv_col].dataType.simpleString())
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], kind).schema)
     return dealt.mapInArrow(_write(schema), kind)

@@ -74,6 +74,16 @@ def test_packs_share_turns_and_intervals_cover_the_path(spark):
             assert len(path) == leaf.depth
 
 
+def test_branches_below_many_shared_turns_are_written_once(spark):
+    trunk = [f"t{i}" for i in range(40)]
+    rows = [(c, t, "user", x) for c in range(20) for t, x in enumerate([*trunk, f"branch {c % 2}", f"more {c % 2}", f"end {c}"])]
+    out = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).toPandas()
+    for _, pack in out.groupby("pack"):
+        texts = pack[pack.kind == "node"].text
+        assert texts.is_unique
+    assert (out.kind == "leaf").sum() == 20 and out.pack.nunique() < 10
+
+
 def test_long_conversations_below_what_can_be_shared(spark, monkeypatch):
     rows = [(c, t, "assistant", f"{t}") for c in range(3) for t in range(chat.SHARED + 40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -63,9 +64,9 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-_BYTE = constants(256, 11)
-_R = 0x9E3779B97F4A7C15 & ~7 | 5  # 5 mod 8: its powers repeat late
-_R_INVERSE = pow(_R, -1, 1 << 64)
+#: Masks of the first 0 to 8 bytes of a little-endian word; bytes from which a span is long; bytes that are looked at together.
+_FRONT = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
+LONG, STEP = 64, 4 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,29 +94,45 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in data, and its row. No word crosses the border of two rows."""
-    n = len(data)
-    gap = np.ones(n + 2, dtype=bool)
-    gap[1:-1] = SPACE[data]
-    first = np.zeros(n + 1, dtype=bool)
-    first[offsets] = True
-    solid = ~gap[1:-1]
-    start = np.flatnonzero(solid & (gap[:-2] | first[:-1]))
-    end = np.flatnonzero(solid & (gap[2:] | first[1:])) + 1
+    n, starts, ends = len(data), [], []
+    for a in range(0, n, STEP):
+        b = min(n, a + STEP)
+        low, high = max(a - 1, 0), min(b + 1, n)
+        solid = np.zeros(b - a + 2, dtype=bool)  # with the byte before and the byte behind
+        solid[low - a + 1 : high - a + 1] = ~SPACE[data[low:high]]
+        new = np.zeros(b - a + 1, dtype=bool)
+        new[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        starts.append(np.flatnonzero(solid[1:-1] & (~solid[:-2] | new[:-1])) + a)
+        ends.append(np.flatnonzero(solid[1:-1] & (~solid[2:] | new[1:])) + a + 1)
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], by sums of byte values times powers modulo 2**64."""
-    n = len(data)
-    power = np.full(n, _R, dtype=U64)
-    inverse = np.full(n + 1, _R_INVERSE, dtype=U64)
-    if n:
-        power[0] = 1
-    inverse[0] = 1
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * np.cumprod(power, dtype=U64), dtype=U64, out=total[1:])
-    inverse = np.cumprod(inverse, dtype=U64)
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+    """64-bit hashes of data[start:end].
+
+    Eight bytes at a time go through a bijective mixer that starts from the length, so spans of equal length up to eight bytes never
+    collide, and longer ones have no algebraic way to. Spans of more than LONG bytes get a cryptographic digest.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
+    out = np.empty(len(start), dtype=U64)
+    for i in range(0, len(start), STEP // 8):
+        a, b = start[i : i + STEP // 8], end[i : i + STEP // 8]
+        size = b - a
+        h = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+        live = np.flatnonzero(size <= LONG)
+        for k in range(0, LONG, 8):
+            live = live[size[live] > k]
+            if not len(live):
+                break
+            h[live] = mix(h[live] ^ (at[a[live] + k] & _FRONT[np.minimum(size[live] - k, 8)]))
+        for j in np.flatnonzero(size > LONG).tolist():
+            h[j] = int.from_bytes(hashlib.blake2b(padded[a[j] : b[j]], digest_size=8).digest(), "little")
+        out[i : i + len(a)] = h
+    return out
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytemill.llm import ppm, queries
+from bytemill.llm.arrow import utf8
 
 
 def tokens(text):
@@ -16,11 +17,16 @@ def tokens(text):
     return re.findall(rb"[^\x20\x09-\x0d]+", low)
 
 
+def coded(text):
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    return (ppm.BEFORE,) * ppm.ORDER + (*low, ppm.END)
+
+
 def plain(training):
     """The same model by dictionaries: a function from a text to its log10 probability."""
     top = Counter()
     for t in training:
-        s = bytes([ppm.BEFORE]) * ppm.ORDER + b" ".join(tokens(t)) + bytes([ppm.END])
+        s = coded(t)
         top.update(s[i - ppm.ORDER : i + 1] for i in range(ppm.ORDER, len(s)))
     counts = defaultdict(dict)
     level = dict(top)
@@ -40,10 +46,10 @@ def plain(training):
                     return total + math.log10((2 * left[b] - 1) / (2 * n))
                 total += math.log10(len(left) / (2 * n))
             out = set(here) if here else out
-        return total - math.log10(ppm.ALPHABET - len(counts.get(b"", {})))
+        return total - math.log10(ppm.ALPHABET - len(counts.get((), {})))
 
     def text(t):
-        s = bytes([ppm.BEFORE]) * ppm.ORDER + b" ".join(tokens(t)) + bytes([ppm.END])
+        s = coded(t)
         return sum(one(s[i - ppm.ORDER : i], s[i]) for i in range(ppm.ORDER, len(s)))
 
     return text, one
@@ -57,21 +63,28 @@ def texts(n, seed):
 
 def test_probabilities_sum_to_one():
     _, one = plain(texts(40, 1))
-    for context in (b"the c", b"\x09\x09\x09\x09\x09", b"zzzzz", b" cat "):
-        assert abs(sum(10 ** one(context, b) for b in range(256) if not 0x09 <= b <= 0x0D) + 10 ** one(context, ppm.END) - 1) < 1e-9
-
-
-def test_canonical_text_is_words_and_an_end():
-    column = pa.array(["A b\t\nC", None, "", "  É x ", "one"])
-    text, row, word, owner = ppm.canonical(column)
+    for context in (tuple(b"the c"), (ppm.BEFORE,) * 5, tuple(b"zzzzz"), tuple(b" cat ")):
+        assert abs(sum(10 ** one(context, b) for b in range(ppm.ALPHABET)) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("chunk", [7, ppm.CHUNK])
+def test_ngrams_are_the_bytes_and_an_end(monkeypatch, chunk):
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    column = pa.array(["A b\t\nC", None, "", "  É x ", "one and another"])
+    found = defaultdict(list)
+    for code, row in ppm.grams(*ppm.symbols(*utf8(column))):
+        for c, r in zip(code.tolist(), row.tolist(), strict=True):
+            found[r].append(tuple(c >> (ppm.BITS * k) & 511 for k in range(ppm.ORDER, -1, -1)))
     for i, t in enumerate(column.to_pylist()):
-        assert text[row == i].tobytes() == b" ".join(tokens(t)) + b"\n"
-        assert (owner == i).sum() == len(tokens(t))
+        s = coded(t)
+        assert found[i] == [s[k - ppm.ORDER : k + 1] for k in range(ppm.ORDER, len(s))]
 
 
-@pytest.mark.parametrize("most", [ppm.WORDS, 0])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most):
-    monkeypatch.setattr(ppm, "WORDS", most)
+@pytest.mark.parametrize(("most", "nodes"), [(ppm.WORDS, ppm.NODES), (0, 0)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most, nodes):
+    """Also where words are joined, and where the trie is cut."""
+    for name, value in (("WORDS", most), ("NODES", nodes), *([("PIECE", 300), ("PART", 2000), ("RUN", 50), ("CHUNK", 100)] if not nodes else [])):
+        monkeypatch.setattr(ppm, name, value)
     rows = [(i, t) for i, t in enumerate(texts(150, 2))] + [(None, "the cat"), (7, "again the cat"), (7, "again the cat")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, words string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -89,14 +102,22 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most):
     assert got == want
 
 
-def test_empty_training_and_tables_and_pruning(spark):
+@pytest.mark.parametrize("nodes", [ppm.NODES, -1])
+def test_empty_training_and_tables(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "NODES", nodes)
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score(df, ppm.train(df.limit(0))).collect()}
     assert abs(got[1].score + 3 * math.log10(ppm.ALPHABET)) < 1e-9 and got[2].n_tokens == 1 and got[1].train_tokens == 0 and got[1].base_score == 0
     assert ppm.score(df.limit(0), ppm.train(df)).count() == 0
-    many = spark.createDataFrame([(i, t) for i, t in enumerate(texts(100, 3))], "doc_id long, text string")
-    small = ppm.train(many, nodes=300)
-    assert len(small.code) <= 300 and ppm.score(many, small).where(F.col("score") > 0).count() == 0
+
+
+def test_a_long_text_in_several_chunks(spark):
+    """Also under clashing names."""
+    word = "the cat sat on a mat. "
+    df = spark.createDataFrame([(1, word * 200_000, 0), (2, word * 400_000, 0)], "doc_id long, text string, c0 int")
+    a, b = (r for r in ppm.score(df, ppm.train(df), carry={"c0": F.col("c0"), "t": F.lit(1)}).sort("doc_id").collect())
+    assert a.n_bytes == 200_000 * len(word) + 1 and a.c0 == 0 and a.t == 1
+    assert -12 < b.score < a.score < 0  # a text that repeats itself is foreseen
 
 
 def test_adaptive_learns_within_a_text():

@@ -62,7 +62,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.read_back(chat.pack(rows.union(extra)))
+    return chat.read_back(chat.pack(rows.union(extra)), ordered=True)
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,21 +75,33 @@ def test_packs_share_turns_and_intervals_cover_the_path(spark):
             assert len(path) == leaf.depth
 
 
-def test_branches_below_many_shared_turns_are_written_once(spark):
-    trunk = [f"t{i}" for i in range(40)]
-    rows = [(c, t, "user", x) for c in range(20) for t, x in enumerate([*trunk, f"branch {c % 2}", f"more {c % 2}", f"end {c}"])]
-    out = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).toPandas()
-    for _, pack in out.groupby("pack"):
-        texts = pack[pack.kind == "node"].text
-        assert texts.is_unique
-    assert (out.kind == "leaf").sum() == 20 and out.pack.nunique() < 10
+@pytest.fixture
+def one_pack(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("shared", [10, 17, 40, 2000])
+def test_nodes_of_a_pack_are_its_distinct_prefixes(spark, one_pack, shared):
+    """Eight conversations part behind so many turns, and once more, ids out of order."""
+    trunk = [f"t{i}" for i in range(shared)]
+    said = {c: [*trunk, f"branch {c % 2}", f"more {c % 2}", f"end {c % 4}"] for c in range(8)}
+    rows = [(c, t, "user" if t % 2 else "assistant", x) for c, turns in said.items() for t, x in enumerate(turns)]
+    made = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = made.select("kind", "pack", "depth").toPandas()
+    assert out.pack.nunique() == 1 and (out.kind == "leaf").sum() == 8
+    assert (out.kind == "node").sum() == shared + 2 + 2 + 4
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.read_back(made, ordered=True).collect()}
+    assert got == brute(rows)
 
 
-def test_long_conversations_below_what_can_be_shared(spark, monkeypatch):
-    rows = [(c, t, "assistant", f"{t}") for c in range(3) for t in range(chat.SHARED + 40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.read_back(chat.pack(df)).collect()}
-    assert got == brute(rows)
+def test_read_back_from_rows_in_any_order(spark, tmp_path):
+    rows = data(100, 4)
+    chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).repartition(5).write.parquet(f"{tmp_path}/packs")
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(spark.read.parquet(f"{tmp_path}/packs")).collect()}
+    assert got == {c: x[1] for c, x in brute(rows).items()}
 
 
 def test_query_on_a_table(spark, tmp_path):

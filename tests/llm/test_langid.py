@@ -1,9 +1,11 @@
+import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from bytemill.llm import langid
+from bytemill.llm import langid, queries
 
 
 def plain(texts, alphabet):
@@ -42,11 +44,11 @@ def plain(texts, alphabet):
 
 def test_model_equals_the_dictionary_form():
     texts = ["the cat sat on the mat.", "A hat, the bat; 12 THE end", "then there were ten"]
-    code, _ = langid.grams(texts)
+    (code, _), = langid.grams(texts)
     c, n = np.unique(code, return_counts=True)
     alphabet = len(np.unique(code & np.uint64(0xFFFF))) + 1
     table, floor = langid.fit("en", c, n, alphabet)
-    scorer = langid.Scorer(langid.Model(["en"], [table], [floor], {}, 9.0))
+    scorer = langid.Scorer(langid.Model(["en"], [table], [floor], {}))
     want = plain(texts, alphabet)
     for text in [*texts, "the zebra", "", "!!", "x"]:
         k, total, _ = scorer.score([text])
@@ -54,6 +56,73 @@ def test_model_equals_the_dictionary_form():
         assert k[0] == len(logs) and abs(total[0, 0] - sum(logs)) < 1e-9
 
 
+def test_chunks_of_a_text_give_the_same_ngrams(monkeypatch):
+    texts = ["the cat sat, on the mat", None, "", "ein Wort " * 40, "y" * 70]
+    (code, rows), = langid.grams(texts)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    parts = list(langid.grams(texts))
+    assert len(parts) > 20 and (np.concatenate([p[0] for p in parts]) == code).all() and (np.concatenate([p[1] for p in parts]) == rows).all()
+
+
+def unit(doc_id):
+    return int(hashlib.md5(f"fit:{doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+def test_query_equals_the_dictionary_form(spark, tmp_path):
+    """Prediction, score and cross-entropy of every row, ties between equal models included."""
+    words = {"aa": ["lor", "mip", "dol", "Sit"], "bb": ["ket", "zuv", "wox", "qah"], "cc": ["mip", "zuv", "été", "nun"]}
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(r.choice(words[x], r.integers(1, 9))) + r.choice(["", " 12", ", ok"]), x) for i, x in enumerate(["aa", "bb", "cc"] * 60)]
+    rows += [(1000 + i, t, None) for i, t in enumerate([None, "", "12", "zzz", "mip zuv", "ket " * 30])]
+    spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, lang string, c0 int").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    fit = {x: [t for d, t, lang in rows if lang == x and not held[d] and unit(d) < 0.8] for x in words}
+    alphabet = len({c for ts in fit.values() for t in ts for c in t.lower() if c.isalpha()}) + 2
+    model = {x: plain(ts, alphabet) for x, ts in fit.items()}
+    got = {x.doc_id: x for x in queries.op10_langid(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        assert got[d].held_out == held[d]
+        logs = {x: sum(m(t or "")) for x, m in model.items()}
+        n = len(model["aa"](t or ""))
+        best = min(logs, key=lambda x: (-logs[x], x))
+        assert got[d].lang_pred == (best if n else "und") and got[d].n_symbols == n
+        assert abs(got[d].score - (1 / sum(math.exp(v - logs[best]) for v in logs.values()) if n else 0)) < 1e-9
+        assert abs(got[d].cross_entropy - (-logs[best] / n if n else 0)) < 1e-9
+
+
+def test_equal_models_tie_to_the_smaller_name(spark):
+    rows = [(i, "lor mip dol", x) for i, x in enumerate(["bb", "aa"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, rows_per_language=10**6)
+    counts = {x: sum(lang == x and unit(i) < 0.8 for i, _, lang in rows) for x in ("aa", "bb")}
+    found = {r.lang_pred for r in langid.predict(df, model).collect()}
+    assert found <= {"aa", "bb"} and (found == {"aa"} or counts["aa"] != counts["bb"])
+
+
+def test_rejection_rate_and_wrong_labels(spark, monkeypatch):
+    """About FALSE of unseen documents are rejected, foreign ones all, though one label in twenty is wrong."""
+    monkeypatch.setattr(langid, "FALSE", 0.02)
+    monkeypatch.setattr(langid, "FLOOR", 0.0)
+    r = np.random.default_rng(5)
+    letters = {"aa": "abcdefgh", "bb": "hijklmno", "foreign": "uvwxyz"}
+    vocabulary = {x: ["".join(r.choice(list(c), r.integers(2, 7))) for _ in range(200)] for x, c in letters.items()}
+    text = lambda x: " ".join(r.choice(vocabulary[x], r.integers(20, 60)))
+    rows = [(i, text(x), ("bb" if x == "aa" else "aa") if r.random() < 0.05 else x) for i, x in enumerate(["aa", "bb"] * 700)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=300)
+    fresh = [(10_000 + i, text(x), x) for i, x in enumerate([*["aa", "bb"] * 400, *["foreign"] * 50])]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(fresh, "doc_id long, text string, truth string"), model).collect()}
+    own = [got[d] for d, _, x in fresh if x != "foreign"]
+    assert all(got[d].lang_pred == x for d, _, x in fresh if x != "foreign")
+    assert 0 < sum(x.rejected for x in own) < 0.05 * len(own)
+    assert all(got[d].rejected for d, _, x in fresh if x == "foreign")
+
+
+def test_only_the_most_frequent_labels_are_learned(spark):
+    rows = [(i, "lor mip", "aa" if i % 2 else f"x{i}") for i in range(100)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=1).languages == ["aa"]
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     words = {"aa": ["lor", "mip", "dol", "sit"], "bb": ["ket", "zuv", "wox", "qah"]}
     r = np.random.default_rng(1)

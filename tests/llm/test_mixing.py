@@ -34,11 +34,24 @@ def test_marginals_meet_their_targets(spark):
         share = cells.groupby(f"d{i}").w.sum() / cells.w.sum()
         assert all(abs(share[k] - v) < 1e-6 for k, v in goal[name].items())
     assert abs((cells.p * cells.t).sum() / cells.t.sum() - 0.3) < 1e-9 and (cells.p <= 1).all()
+    assert cells.residual.max() < 1e-6 and cells.shortfall.max() < 1e-6
+    bounded = mixing.rake(df, ["d", "e"], "tokens", 0.6, goal).toPandas()  # the rarer value has not the tokens for it
+    assert bounded.residual.max() < 1e-6 and bounded.shortfall.max() > 0.01
     kept = mixing.mix(df, ["d", "e"], "tokens", 0.3, goal).where("mix_kept").groupBy("d").agg(F.sum("tokens").alias("t")).toPandas().set_index("d").t
     assert abs(kept["a"] / kept.sum() - 0.5) < 0.06
 
 
+def test_given_targets_name_nulls_and_empty_values_apart(spark):
+    rows = [(i, x, 10) for i, x in enumerate(["", None, "a"] * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, d string, tokens long")
+    of = lambda goal: {r.d0: round(r.w / r["all"], 6) for r in mixing.rake(df, ["d"], "tokens", 0.2, {"d": goal}).collect()}
+    assert of({None: 0.5, "": 0.25, "a": 0.25}) == {None: 0.5, "": 0.25, "a": 0.25}
+    assert of({"": 0.5, "a": 0.5, "absent": 7.0}) == {None: 0.0, "": 0.5, "a": 0.5}
+    assert of({None: 1.0}) == {None: 1.0, "": 0.0, "a": 0.0}
+
+
 def test_many_cells_go_the_long_way_and_agree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
     rows = [(i, "s%d" % (i % 7), "l%d" % (i % 3), i % 11 + 1) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, d string, e string, tokens long")
     one = sorted(map(tuple, mixing.mix(df, ["d", "e"], "tokens", 0.5).select("doc_id", F.round("mix_p", 9), "mix_kept").collect()))

@@ -100,9 +100,16 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "unpack":
             files.unpack_file(a.archive, a.output)
         elif a.command == "dataset":
-            made = dataset.build(corpus.files(spark, a.corpus), a.shard_dir, a.chunker, a.chunk_size, a.force)
+            listed = corpus.files(spark, a.corpus, content=False).cache()
+            listed.count()  # as the folder is now: a file that goes meanwhile has failed
+            sources = corpus.files(spark, a.corpus, tolerant=True)
+            made = dataset.build(sources, a.shard_dir, a.chunker, a.chunk_size, a.force)
             dataset.save(made, a.out)
-            print(made.count(), "rows")
+            failed = dataset.failures(listed, a.shard_dir, a.chunker, a.chunk_size)
+            n = failed.count()
+            print(f"{made.count()} rows of {made.select('source_file').distinct().count()} files; {n} files failed")
+            for r in failed.orderBy("source_file").limit(20).collect():
+                print(f"bytemill: {r['source_file']}: {r['error']}", file=sys.stderr)
         elif a.command == "train":
             print(json.dumps(train(spark, a)["compression_ratio"], indent=2))
         else:

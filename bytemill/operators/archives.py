@@ -169,8 +169,13 @@ def summary(archives: DataFrame, sources: DataFrame, layout: str = "checked") ->
     return sizes.join(found, "path").select("path", "original_size", "compressed_size", F.when(F.col("compressed_size") == 0, float("inf")).otherwise(F.col("original_size") / F.col("compressed_size")).alias("ratio"), "chunk_count")
 
 
-def algorithm_counts(archives: DataFrame, layout: str = "checked") -> DataFrame:
-    """algorithm, chunk_count, share (percent, one decimal), most frequent first."""
-    found = entries(archives, layout).groupBy("algorithm").agg(F.count(F.lit(1)).alias("chunk_count"))
+def counted(rows: DataFrame) -> DataFrame:
+    """algorithm, chunk_count, share (percent, one decimal) of rows that have an algorithm, most frequent first."""
+    found = rows.groupBy("algorithm").agg(F.count(F.lit(1)).alias("chunk_count"))
     share = F.round(100 * F.col("chunk_count") / F.sum("chunk_count").over(Window.partitionBy(F.lit(0))), 1)
     return found.withColumn("share", share).orderBy(F.desc("chunk_count"), "algorithm")
+
+
+def algorithm_counts(archives: DataFrame, layout: str = "checked") -> DataFrame:
+    """The same of the chunks of archives."""
+    return counted(entries(archives, layout))

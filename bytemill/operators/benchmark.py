@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from bytemill.functions.scalars import ratio
 from bytemill.operators import chunking, labeling, selection
-from bytemill.schema import ARCHIVE_CHUNK
+from bytemill.schema import ARCHIVE_CHUNK, NOT_SEARCHED
+
+#: Codecs that every benchmark runs.
+NAMES = ["store", "gzip", "bzip2", "lzma", "zstd"]
 
 
 def load_chunks(sources: DataFrame, chunk_size: int = ARCHIVE_CHUNK) -> DataFrame:
@@ -22,18 +25,21 @@ def run_all(chunks: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     Every codec runs once on every chunk; the strategies only choose among the sizes. Seconds are the sums of the codec
     times that a strategy needs (for the ceiling: of all codecs in the search).
     """
-    names = ["store", "gzip", "bzip2", "lzma", "zstd"]
     if model is not None:
         chunks = selection.predict(chunks, model)
-    rows = labeling.sizes(chunks, names, keep=["algorithm"] if model is not None else None)
-    searched = [c for c in names if c != "gzip"]
-    strategies = [F.struct(F.lit(f"always_{c}").alias("name"), F.col(f"size_{c}").alias("size"), F.col(f"time_{c}").alias("s")) for c in ("store", "gzip", "zstd")]
+    return strategies(labeling.sizes(chunks, NAMES, keep=["algorithm"] if model is not None else None))
+
+
+def strategies(rows: DataFrame) -> DataFrame:
+    """The same from rows that have length and the sizes and seconds of NAMES; model_predicted if they have an algorithm."""
+    searched = [c for c in NAMES if c not in NOT_SEARCHED]
+    made = [F.struct(F.lit(f"always_{c}").alias("name"), F.col(f"size_{c}").alias("size"), F.col(f"time_{c}").alias("s")) for c in ("store", "gzip", "zstd")]
     best, spent = F.least(*[F.col(f"size_{c}") for c in searched]), sum(F.col(f"time_{c}") for c in searched)
-    strategies.append(F.struct(F.lit("brute_force_ceiling").alias("name"), best.alias("size"), spent.alias("s")))
-    if model is not None:
-        pick = lambda kind: F.try_element_at(F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"{kind}_{c}"))]), F.col("algorithm"))
-        strategies.append(F.struct(F.lit("model_predicted").alias("name"), pick("size").alias("size"), pick("time").alias("s")))
-    flat = rows.select("length", F.explode(F.array(*strategies)).alias("r")).select("length", "r.*")
+    made.append(F.struct(F.lit("brute_force_ceiling").alias("name"), best.alias("size"), spent.alias("s")))
+    if "algorithm" in rows.columns:
+        pick = lambda kind: F.try_element_at(F.create_map(*[x for c in NAMES for x in (F.lit(c), F.col(f"{kind}_{c}"))]), F.col("algorithm"))
+        made.append(F.struct(F.lit("model_predicted").alias("name"), pick("size").alias("size"), pick("time").alias("s")))
+    flat = rows.select("length", F.explode(F.array(*made)).alias("r")).select("length", "r.*")
     total = flat.groupBy("name").agg(F.sum("length").alias("total_original"), F.sum("size").alias("total_compressed"), F.sum("s").alias("seconds"))
     return total.select("name", "total_original", "total_compressed", ratio(F.col("total_original"), F.col("total_compressed")).alias("ratio"), "seconds")
 

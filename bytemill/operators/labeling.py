@@ -54,9 +54,9 @@ def sizes(chunks: DataFrame, algorithms: list[str] | None = None, keep: list[str
     return source.mapInArrow(run, ", ".join([*kinds, "length int", *(f"size_{c} long, time_{c} double" for c in tried), *(["error string"] if errors else [])]))
 
 
-def best(sized: DataFrame) -> DataFrame:
-    """sized with best_algorithm and best_size, from whatever size_ columns it has."""
-    tried = sorted((c[5:] for c in sized.columns if c.startswith("size_")), key=CODECS.index)
+def best(sized: DataFrame, among: list[str] | None = None) -> DataFrame:
+    """sized with best_algorithm and best_size, from whatever size_ columns it has, or those of the codecs among."""
+    tried = sorted((c[5:] for c in sized.columns if c.startswith("size_") and (among is None or c[5:] in among)), key=CODECS.index)
     least = F.least(*[F.col(f"size_{c}") for c in tried]) if len(tried) > 1 else F.col(f"size_{tried[0]}")
     name = F.coalesce(*[F.when(F.col(f"size_{c}") == least, F.lit(c)) for c in tried])
     return sized.withColumn("best_algorithm", name).withColumn("best_size", least)

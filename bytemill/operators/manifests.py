@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,25 +36,37 @@ def exploded(manifests: DataFrame) -> DataFrame:
 
 
 def violations(manifests: DataFrame, sources: DataFrame) -> DataFrame:
-    """What is wrong with manifests: path, chunk_idx (null for the whole), check, expected, actual. Sources are (path, content)."""
-    whole = manifests.join(sources.select(F.col("path").alias("source_file"), "content"), "source_file", "left").withColumnRenamed("source_file", "path")
-    size, text = F.octet_length("content").cast("long"), lambda c: c.cast("string")
-    of_all = whole.select("path", F.lit(None).cast("int").alias("chunk_idx"), F.explode(F.array(
-        F.struct(F.lit("version").alias("check"), F.lit(str(VERSION)).alias("expected"), text(F.col("version")).alias("actual")),
-        F.struct(F.lit("source_size").alias("check"), text(F.col("source_size")).alias("expected"), text(size).alias("actual")),
-        F.struct(F.lit("source_sha256").alias("check"), F.col("source_sha256").alias("expected"), F.sha2("content", 256).alias("actual")),
-        F.struct(F.lit("coverage").alias("check"), text(size).alias("expected"), text(F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: F.greatest(acc, c["offset"] + c["length"])), F.lit(0))).alias("actual")),
-    )).alias("v")).select("path", "chunk_idx", "v.*")
-    rows = whole.select("path", "content", F.posexplode("chunks").alias("chunk_idx", "c")).select("path", "chunk_idx", "c.*", "content")
-    before = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(Window.partitionBy("path").orderBy("chunk_idx")), F.lit(0))
-    piece = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.greatest(F.col("length"), F.lit(0)).cast("int"))
-    of_each = rows.withColumn("before", before).select("path", "chunk_idx", F.explode(F.array(
-        F.struct(F.lit("contiguity").alias("check"), text(F.col("before")).alias("expected"), text(F.col("offset")).alias("actual")),
-        F.struct(F.lit("negative").alias("check"), F.lit("false").alias("expected"), text((F.col("offset") < 0) | (F.col("length") < 0)).alias("actual")),
-        F.struct(F.lit("algorithm").alias("check"), F.when(F.col("algorithm").isin(CODECS), F.col("algorithm")).otherwise("a known codec").alias("expected"), F.col("algorithm").alias("actual")),
-        F.struct(F.lit("checksum").alias("check"), F.col("checksum").alias("expected"), F.when((F.col("offset") >= 0) & (F.col("length") >= 0), F.sha2(piece, 256)).otherwise("").alias("actual")),
-    )).alias("v")).select("path", "chunk_idx", "v.*")
-    return of_all.union(of_each).where(~F.col("expected").eqNullSafe(F.col("actual")))
+    """What is wrong with manifests: path, chunk_idx (null for the whole), check, expected, actual. Sources are (path, content).
+
+    A manifest meets its source once, and all checks are one expression over that row: no record carries the content on, and
+    nothing but violations leaves the projection.
+    """
+    rows = manifests.join(sources.select(F.col("path").alias("source_file"), "content"), "source_file", "left")
+    size = F.octet_length("content").cast("long")
+    each = "struct<chunk_idx: int, check: string, expected: string, actual: string>"
+
+    def check(at: Column, name: str, expected: Column, actual: Column) -> Column:
+        return F.struct(at.cast("int").alias("chunk_idx"), F.lit(name).alias("check"), expected.cast("string").alias("expected"), actual.cast("string").alias("actual"))
+
+    def wrong(*checks: Column) -> Column:
+        return F.filter(F.array(*checks), lambda v: ~v["expected"].eqNullSafe(v["actual"]))
+
+    def of_chunk(c: Column, i: Column) -> Column:
+        before = F.get("chunks", i - 1)
+        piece = F.substring(F.col("content"), (c["offset"] + 1).cast("int"), F.greatest(c["length"], F.lit(0)).cast("int"))
+        fine = (c["offset"] >= 0) & (c["length"] >= 0)
+        return wrong(
+            check(i, "contiguity", F.when(i == 0, F.lit(0).cast("long")).otherwise(before["offset"] + before["length"]), c["offset"]),
+            check(i, "negative", F.lit(False), ~fine),
+            check(i, "algorithm", F.when(c["algorithm"].isin(CODECS), c["algorithm"]).otherwise("a known codec"), c["algorithm"]),
+            check(i, "checksum", c["checksum"], F.when(fine, F.sha2(piece, 256)).otherwise("")),
+        )
+
+    none = F.lit(None)
+    end = F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: F.greatest(acc, c["offset"] + c["length"])), F.lit(0).cast("long"))
+    of_all = wrong(check(none, "version", F.lit(VERSION), F.col("version")), check(none, "source_size", F.col("source_size"), size), check(none, "source_sha256", F.col("source_sha256"), F.sha2("content", 256)), check(none, "coverage", size, end))
+    of_each = F.coalesce(F.flatten(F.transform("chunks", of_chunk)).cast(f"array<{each}>"), F.array().cast(f"array<{each}>"))
+    return rows.select(F.col("source_file").alias("path"), F.explode(F.concat(of_all.cast(f"array<{each}>"), of_each)).alias("v")).select("path", "v.*")
 
 
 def to_json(manifests: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ from bytemill.operators.features import feature_rows, with_vector
 from bytemill.schema import FEATURES, MissingCodecError
 
 
+#: Hexadecimal digits that make a range of a split's order: 65,536 ranges a class.
+DIGITS = 4
+
+
 def _split_sizes(n, val: float, test: float):
     """Test and validation sizes of a class of n: at least one each, cut down (validation first) while nothing is left for training."""
     t = F.greatest(F.lit(1), F.bround(n * test, 0).cast("int"))
@@ -30,12 +34,20 @@ def stratified_split(df: DataFrame, label: str, key: str, val: float = 0.15, tes
 
     A class of one is trained on, of two gives one row to the test; otherwise val and test get their rounded (half to
     even) shares, at least one row each.
+
+    The order is found by ranges of the first DIGITS digits of the hash: counts per class and range give each range its first place,
+    and rows are numbered within a range, so no task holds a class.
     """
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    ranked = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)).cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(mark, key)))
+    marked = df.withColumn("_m", mark).withColumn("_b", F.substring("_m", 1, DIGITS))
+    counts = marked.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_k"))
+    own = Window.partitionBy("_l")
+    places = counts.select("_l", "_c", (F.sum("_k").over(own.orderBy("_c")) - F.col("_k")).alias("_f"), F.sum("_k").over(own).alias("_n"))
+    ranked = marked.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_m", key)))
+    ranked = ranked.join(places, F.col(label).eqNullSafe(F.col("_l")) & F.col("_b").eqNullSafe(F.col("_c"))).withColumn("_r", F.col("_r") + F.col("_f"))
     t, v = _split_sizes(F.col("_n"), val, test)
     split = F.when(F.col("_r") <= F.col("_n") - t - v, "train").when(F.col("_r") <= F.col("_n") - t, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_n", "_r")
+    return ranked.withColumn("split", split).drop("_n", "_r", "_m", "_b", "_l", "_c", "_f")
 
 
 def small_classes(df: DataFrame, label: str, least: int = 10) -> DataFrame:

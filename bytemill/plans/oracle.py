@@ -93,16 +93,38 @@ def layout(entry: int) -> str:
 
 
 RESTORED = f"WITH {src()} SELECT path, (length(h) // 2)::BIGINT AS restored_length, sha256(from_hex(h)) AS restored_sha256 FROM src"
-ROUND_TRIP = f"WITH {src()}, {chunks()} SELECT path, chunk_idx, sha256(from_hex(c)) AS sha256 FROM chunks"
+ROUND_TRIP = f"WITH {src()}, {chunks()} SELECT path, chunk_idx, sha256(from_hex(c)) AS sha256, '%s' AS magic FROM chunks"
 RECORDS = f"""WITH {src()}, {chunks()} SELECT path, chunk_idx, "offset", (length(c) // 2)::BIGINT AS length, 'store' AS algorithm, sha256(from_hex(c)) AS checksum FROM chunks"""
 _N = "split_part(path, '/', 2)::BIGINT % 10"
-VIOLATIONS = f"""WITH {src()}, {chunks()}, kinds AS (
-  SELECT path, NULL::INT AS chunk_idx, 'source_size' AS "check" FROM src WHERE {_N} = 1
-  UNION ALL SELECT path, 0, 'checksum' FROM chunks WHERE chunk_idx = 0 AND {_N} = 2
-  UNION ALL SELECT path, 0, 'contiguity' FROM chunks WHERE chunk_idx = 0 AND {_N} = 3
-  UNION ALL SELECT path, 1, 'contiguity' FROM chunks WHERE chunk_idx = 1 AND {_N} = 3
-  UNION ALL SELECT path, 0, 'algorithm' FROM chunks WHERE chunk_idx = 0 AND {_N} = 4)
-SELECT path, chunk_idx, "check", 1::BIGINT AS n FROM kinds"""
+VIOLATIONS = f"""WITH {src()}, {chunks()},
+  first AS (SELECT s.path, h, (length(h) // 2)::BIGINT AS n, (length(c) // 2)::BIGINT AS l, sha256(from_hex(c)) AS sum, split_part(s.path, '/', 2)::BIGINT % 10 AS k FROM src s JOIN chunks f ON f.path = s.path AND chunk_idx = 0),
+  found AS (
+  SELECT path, NULL::INT AS chunk_idx, 'source_size' AS "check", (length(h) // 2 + 1)::VARCHAR AS expected, (length(h) // 2)::VARCHAR AS actual FROM src WHERE {_N} = 1
+  UNION ALL SELECT path, 0, 'checksum', '00', sum FROM first WHERE k = 2
+  UNION ALL SELECT path, 0, 'contiguity', '0', '1' FROM first WHERE k = 3
+  UNION ALL SELECT path, 1, 'contiguity', (1 + l)::VARCHAR, l::VARCHAR FROM first WHERE k = 3 AND n > l
+  UNION ALL SELECT path, 0, 'checksum', sum, sha256(from_hex(substr(h, 3, (2 * l)::INT))) FROM first WHERE k = 3
+  UNION ALL SELECT path, NULL, 'coverage', n::VARCHAR, (n + 1)::VARCHAR FROM first WHERE k = 3 AND n = l
+  UNION ALL SELECT path, 0, 'algorithm', 'a known codec', 'rar' FROM first WHERE k = 4)
+SELECT * FROM found WHERE expected <> actual"""
+#: What each codec's output begins with, fixed values of the formats.
+MAGIC = {"store": "", "gzip": "1f8b", "bzip2": "425a68", "lzma": "fd377a585a00", "zstd": "28b52ffd"}
+#: Sizes of fixed contents: name, then store, gzip, bzip2, lzma, zstd, and the winner of a search (the smaller id of equals); fixed values at the codecs' default levels.
+KNOWN = {
+    "empty": (0, 20, 14, 32, 9, "store"),
+    "seventeen letters": (17, 23, 39, 68, 17, "store"),
+    "forty letters": (40, 25, 40, 68, 17, "zstd"),
+    "line": (44, 63, 80, 100, 53, "store"),
+    "zeros": (4096, 38, 43, 92, 19, "zstd"),
+    "pangrams": (3960, 88, 137, 136, 63, "zstd"),
+    "noise": (4096, 4119, 4596, 4156, 4106, "store"),
+    "hex": (8192, 4738, 4255, 4420, 4272, "bzip2"),
+    "squares": (76374, 33860, 30209, 19564, 33226, "lzma"),
+}
+#: Sizes that are made up from length and document number, ties among them, and a choice for each document.
+GIVEN = """given AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+  sized AS (SELECT *, n AS store, n // 2 + 20 AS gzip, n // 3 + 40 * (doc_id % 3) AS bzip2, n // 3 + 60 AS lzma, n // 2 + 20 - doc_id % 2 AS zstd, doc_id % 5 AS pick FROM given),
+  judged AS (SELECT *, least(store, bzip2, lzma, zstd) AS best, CASE pick WHEN 0 THEN store WHEN 1 THEN gzip WHEN 2 THEN bzip2 WHEN 3 THEN lzma ELSE zstd END AS picked FROM sized)"""
 _CASES = {
     "sound": "", "trailing_bytes": "", "magic": "E", "empty": "E", "short_header": "E", "short_table": "E", "short_payload": "E", "unknown_codec": "E", "source_size": "E", "source_checksum": "E", "chunk_length": "E",
 }
@@ -132,7 +154,10 @@ def oracle() -> dict[str, str]:
         "byte_mean_variance": on_counts(f"{six(_MEAN)} AS mean, {six(_VARIANCE)} AS variance"),
         "bigram_topk": f"WITH {src()}, {chunks()}, {pair} SELECT path, chunk_idx, rank, {six('freq')} AS freq FROM top",
         "feature_scalars": on_counts(f"sum(n)::BIGINT AS length, {six(_ENTROPY)} AS entropy, {six(_PRINTABLE)} AS printable_ratio, {six(_MEAN)} AS byte_mean, {six(_VARIANCE)} AS byte_variance"),
-        "feature_vector": f"WITH {src()}, {chunks()} SELECT path, chunk_idx, 271::BIGINT AS n, 1.0::DOUBLE AS hist_sum FROM chunks",
+        "feature_vector": f"""WITH {src()}, {chunks()}, {COUNTS}, {pair},
+          s AS (SELECT path, chunk_idx, sum(n)::DOUBLE AS length, {six(_ENTROPY)} AS entropy, {six(_MEAN)} AS hist_mean, {six("sum(n::DOUBLE * n) / (sum(n)::DOUBLE * sum(n))")} AS hist_squares FROM counts GROUP BY path, chunk_idx),
+          b AS (SELECT path, chunk_idx, {six("sum(freq * (rank + 1))")} AS pair_sum FROM top GROUP BY path, chunk_idx)
+          SELECT path, chunk_idx, 271::BIGINT AS n, length, entropy, hist_mean, hist_squares, pair_sum FROM s JOIN b USING (path, chunk_idx)""",
         "feature_wide": f"""WITH {src()}, {chunks()}, {COUNTS}, {pair},
           h AS (SELECT path, chunk_idx, sum(CASE WHEN v = 32 THEN n ELSE 0 END) / sum(n) AS a, sum(CASE WHEN v = 101 THEN n ELSE 0 END) / sum(n) AS b FROM counts GROUP BY ALL),
           g AS (SELECT path, chunk_idx, max(CASE WHEN rank = 0 THEN freq END) AS c, max(CASE WHEN rank = 9 THEN freq END) AS d FROM top GROUP BY ALL)
@@ -145,8 +170,14 @@ def oracle() -> dict[str, str]:
         "oversized_chunks": f"WITH {src()}, {runs()} SELECT count(*) AS n, coalesce(max(length), 0)::BIGINT AS max_length FROM win_run WHERE length > {OVERSIZE}",
         "longest_chunks": longest(),
         "algorithm_registry": registry(), "default_search_set": f"SELECT algorithm_id, name FROM ({registry(' WHERE in_default_search')})",
-        "label_invariants": f"WITH {src()}, {chunks()} SELECT path, chunk_idx, (length(c) // 2)::BIGINT AS store_size, true AS best_le_store FROM chunks",
-        **{f"codec_roundtrip_{c}": ROUND_TRIP for c in ("store", "gzip", "bzip2", "lzma", "zstd")},
+        "label_known": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x}::BIGINT' for x in v[:5])}, '{v[5]}', {min(v[0], *v[2:5])}::BIGINT)" for k, v in KNOWN.items()) + ') t("name", size_store, size_gzip, size_bzip2, size_lzma, size_zstd, best_algorithm, best_size)',
+        "label_given": f"WITH {GIVEN} SELECT doc_id, CASE best WHEN store THEN 'store' WHEN bzip2 THEN 'bzip2' WHEN lzma THEN 'lzma' ELSE 'zstd' END AS best_algorithm, best AS best_size FROM judged",
+        "ratio_given": f"WITH {GIVEN} SELECT count(*) AS n, sum(n)::BIGINT AS original, {six('sum(n) / sum(picked)')} AS predicted, {six('sum(n) / sum(zstd)')} AS always_zstd, {six('sum(n) / sum(best)')} AS ceiling FROM judged",
+        "strategies_given": f"""WITH {GIVEN}, flat AS (SELECT n, unnest([{{'name': 'always_store', 'size': store}}, {{'name': 'always_gzip', 'size': gzip}}, {{'name': 'always_zstd', 'size': zstd}}, {{'name': 'brute_force_ceiling', 'size': best}}, {{'name': 'model_predicted', 'size': picked}}]) AS r FROM judged),
+          t AS (SELECT r.name AS name, sum(n)::BIGINT AS total_original, sum(r.size)::BIGINT AS total_compressed FROM flat GROUP BY r.name)
+          SELECT *, {six('total_original / total_compressed')} AS ratio, {six("100 * (total_original / total_compressed) / max(CASE WHEN name = 'brute_force_ceiling' THEN total_original / total_compressed END) OVER ()")} AS percent_of_ceiling FROM t""",
+        "codec_counts_given": f"WITH {GIVEN}, c AS (SELECT CASE best WHEN store THEN 'store' WHEN bzip2 THEN 'bzip2' WHEN lzma THEN 'lzma' ELSE 'zstd' END AS algorithm FROM judged) SELECT algorithm, count(*) AS chunk_count, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM c GROUP BY algorithm",
+        **{f"codec_roundtrip_{c}": ROUND_TRIP % m for c, m in MAGIC.items()},
         "manifest_records": RECORDS,
         "manifest_json": f"WITH {src()} SELECT path, (length(h) // 2)::BIGINT AS source_size, sha256(from_hex(h)) AS source_sha256, ((length(h) // 2 + 4095) // 4096)::BIGINT AS chunks, 1 AS version FROM src",
         "manifest_violations": VIOLATIONS,

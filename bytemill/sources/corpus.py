@@ -16,9 +16,13 @@ CORPORA = {
 }
 
 
-def files(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """All regular files below a folder but .gitkeep: path, length and, if asked for, content. ValueError if there are none."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~F.col("path").endswith("/.gitkeep"))
+def files(spark: SparkSession, folder: str, content: bool = True, tolerant: bool = False) -> DataFrame:
+    """All regular files below a folder but .gitkeep: path, length and, if asked for, content. ValueError if there are none.
+
+    A file that can't be read ends the job or, if tolerant, has no row.
+    """
+    skip = str(tolerant).lower()
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", skip).option("ignoreCorruptFiles", skip).load(folder).where(~F.col("path").endswith("/.gitkeep"))
     if df.select("path").isEmpty():
         raise ValueError(f"no files below {folder}")
     return df.select("path", "length", *(["content"] if content else []))

@@ -105,13 +105,49 @@ def test_dataset_resumes_by_configuration(spark, tmp_path):
         dataset.build(built, shards, chunk_size=0)
 
 
-def test_a_source_that_fails_leaves_the_others_alone(spark):
-    chunks = spark.createDataFrame([("a", 0, b"xx"), ("b", 0, None), ("b", 1, b"y"), ("c", 0, b"z")], "path string, chunk_idx int, content binary")
-    good, failed = dataset.parted(labeling.label(chunks, keep=["content"], errors=True))
-    assert sorted(r["source_file"] for r in good.collect()) == ["a", "c"] and [r["source_file"] for r in failed.collect()] == ["b"]
-    sources = spark.createDataFrame([("p", b"q" * 3000)], "path string, content binary")
-    good, failed = dataset.rows_and_errors(sources, chunk_size=1024)
-    assert good.count() == 3 and failed.count() == 0
+def test_a_source_that_fails_leaves_the_others_alone(spark, tmp_path, monkeypatch):
+    sources = spark.createDataFrame([(p, len(c or b"  "), c) for p, c in (("a", b"x" * 3000), ("b", b"y" * 2000), ("c", b"z"), ("unread", None))], "path string, length long, content binary")
+    shards, label = str(tmp_path / "shards"), labeling.label
+    broken = lambda *a, **k: label(*a, **k).withColumn("error", F.when((F.col("path") == "b") & (F.col("chunk_idx") == 1), "boom"))
+    monkeypatch.setattr(labeling, "label", broken)
+    built = dataset.build(sources, shards, chunk_size=1024)
+    assert sorted(r["source_file"] for r in built.collect()) == ["a", "a", "a", "c"] and not {"error", "build"} & set(built.columns)
+    assert sorted(map(tuple, dataset.failures(sources, shards, chunk_size=1024).collect())) == [("b", "boom"), ("unread", "could not be read")]
+    monkeypatch.setattr(labeling, "label", label)
+    again = dataset.build(sources, shards, chunk_size=1024)  # what failed is tried again
+    assert sorted(r["source_file"] for r in again.collect()) == ["a", "a", "a", "b", "b", "c"]
+    forced = dataset.build(sources.where("path = 'c'"), shards, chunk_size=1024, force=True)
+    assert forced.count() == 1 and dataset.build(sources, shards, chunk_size=1024).count() == 6
+    assert [r["source_file"] for r in dataset.failures(sources, shards, chunk_size=1024).collect()] == ["unread"]
+
+
+def test_a_file_that_is_gone_when_it_is_read(spark, tmp_path, capsys):
+    from bytemill.sources import corpus
+
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a").write_bytes(b"x" * 100)
+    (folder / "b").write_bytes(b"y" * 100)
+    listed = corpus.files(spark, str(folder), content=False).cache()
+    sources = corpus.files(spark, str(folder), tolerant=True)
+    assert listed.count() == 2
+    (folder / "b").unlink()
+    built = dataset.build(sources, str(tmp_path / "shards"))
+    assert [r["source_file"][-1] for r in built.collect()] == ["a"]
+    assert [r["source_file"][-1] for r in dataset.failures(listed, str(tmp_path / "shards")).collect()] == ["b"]
+
+
+def test_split_equals_the_order_of_marks(spark):
+    import hashlib
+
+    rows = [(i, ["a", "b", "c", None][min(3, i % 7)]) for i in range(400)] + [(1000, "one"), (1001, "two"), (1002, "two")]
+    got = {r.key: r.split for r in selection.stratified_split(spark.createDataFrame(rows, "key long, label string"), "label", "key").collect()}
+    for label in {x for _, x in rows}:
+        own = sorted((hashlib.sha256(f"0:{k}".encode()).hexdigest(), k) for k, x in rows if x == label)
+        n = len(own)
+        t = 0 if n == 1 else 1 if n == 2 else max(1, round(n * 0.15))
+        v = 0 if n <= 2 else max(1, round(n * 0.15))
+        assert [got[k] for _, k in own] == ["train"] * (n - t - v) + ["val"] * v + ["test"] * t
 
 
 def test_long_form_and_named_codecs(spark):

@@ -1,7 +1,7 @@
 """Single files, driver side: manifest, encode, decode, compress, decompress, pack, unpack. Work on chunks runs in Spark.
 
-Sources are read in blocks through the block data source for the fixed-size chunker, so a file of any size is never one
-row there; the content-aware chunker and the checksum of a manifest's source see a file as one value.
+Sources are read in blocks through the block data source, so a file of any size is never one row: the fixed-size chunker has its chunks as
+blocks, the content-aware one finds its runs over blocks of BLOCK bytes and reads each run by its range.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 from bytemill.functions import codecs
 from bytemill.functions.layouts import CHECKED, LAYOUTS, restore, unpack
 from bytemill.operators import archives, chunking, manifests, selection
-from bytemill.schema import ARCHIVE_CHUNK, OVERSIZE, EncodeError, ManifestError, check_chunking
+from bytemill.schema import ARCHIVE_CHUNK, OVERSIZE, WINDOW, EncodeError, ManifestError, check_chunking
 from bytemill.sources.archive import read_tables, register
 
 
+#: Bytes of the blocks over which runs are found: a multiple of the window.
+BLOCK = 1024 * WINDOW
+
+
 class OversizedChunkWarning(UserWarning):
     """Chunks are longer than any the selector was trained on."""
 
@@ -56,12 +61,28 @@ def whole_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def ranged(rows: DataFrame) -> DataFrame:
+    """path, chunk_idx, offset, length, content of ranges (path, chunk_idx, offset, length), read by tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row a batch: a run may be long
+                row = batch.slice(i, 1)
+                with open(row.column("path")[0].as_py(), "rb") as f:
+                    f.seek(row.column("offset")[0].as_py())
+                    data = f.read(row.column("length")[0].as_py())
+                yield pa.RecordBatch.from_arrays([row.column("path"), row.column("chunk_idx"), row.column("offset"), pa.array([len(data)], pa.int32()), pa.array([data], pa.binary())], names=["path", "chunk_idx", "offset", "length", "content"])
+
+    return rows.select("path", "chunk_idx", "offset", "length").mapInArrow(read, "path string, chunk_idx int, offset long, length int, content binary")
+
+
 def file_chunks(spark: SparkSession, path: str, chunker: str = "fixed_size", chunk_size: int = ARCHIVE_CHUNK) -> DataFrame:
     check_chunking(chunker, chunk_size)
+    register(spark)
+    blocks = spark.read.format("bytemill_blocks")
     if chunker == "fixed_size":
-        register(spark)
-        return spark.read.format("bytemill_blocks").option("block", chunk_size).load(os.path.abspath(path))
-    return chunking.content_aware(whole_file(spark, path))
+        return blocks.option("block", chunk_size).load(os.path.abspath(path))
+    return ranged(chunking.runs_of_blocks(blocks.option("block", BLOCK).load(os.path.abspath(path))).repartition("chunk_idx"))
 
 
 def build_manifest(spark: SparkSession, path: str, chunker: str = "fixed_size", chunk_size: int = ARCHIVE_CHUNK, model: PipelineModel | None = None, algorithm: str | None = None) -> dict:

@@ -63,6 +63,50 @@ def content_aware(df: DataFrame, window: int = WINDOW, printable: float = PRINTA
     return rows.select("path", "chunk_idx", F.col("r")["a"].alias("offset"), size.alias("length"), F.substring("content", (F.col("r")["a"] + 1).cast("int"), size).alias("content"))
 
 
+def runs_of_blocks(blocks: DataFrame, window: int = WINDOW, printable: float = PRINTABLE, entropy: float = ENTROPY, hexes: float = HEX, least_run: int = LEAST_RUN) -> DataFrame:
+    """path, chunk_idx, offset, length of the content-aware chunks of sources of any size, given as blocks: path, offset, content.
+
+    Blocks but the last of a path have a multiple of the window's bytes. Windows are labelled block by block, where the blocks
+    are; only label changes go on, and a task that reads a path's changes in order keeps one open run. Same chunks as content_aware.
+    """
+    check_chunking(window=window, printable=printable, entropy=entropy, hexes=hexes, least_run=least_run)
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for offset, x in zip(batch.column("offset").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                labels = window_labels(x, window, printable, entropy, hexes)
+                cuts = [offset + int(i) * window for i in (labels[1:] != labels[:-1]).nonzero()[0] + 1]
+                out.append((offset + len(x), bool(labels[0]), bool(labels[-1]), cuts))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("offset"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())), strict=True))], names=["path", "offset", "end", "first", "last", "cuts"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, start, number, label, end = None, 0, 0, None, 0  # of the open run and the path's last block
+        for batch in batches:
+            out = []
+            for name, offset, until, first, last, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != path:
+                    if path is not None:
+                        out.append((path, number, start, end - start))
+                    path, start, number, label, end = name, 0, 0, first, 0
+                if offset != end:
+                    raise ValueError(f"{name}: a block begins at {offset}, not at {end}")
+                for cut in [offset, *cuts] if first != label else cuts:
+                    if cut - start >= least_run:
+                        out.append((path, number, start, cut - start))
+                        start, number = cut, number + 1
+                label, end = last, until
+            yield made(out)
+        if path is not None:
+            yield made([(path, number, start, end - start)])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["path", "chunk_idx", "offset", "length"])
+
+    labelled = blocks.where(F.octet_length("content") > 0).select("path", "offset", "content").mapInArrow(changes, "path string, offset long, end long, first boolean, last boolean, cuts array<long>")
+    return labelled.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(runs, "path string, chunk_idx int, offset long, length long")
+
+
 def chunk(df: DataFrame, chunker: str = "fixed_size", chunk_size: int = ARCHIVE_CHUNK, **options) -> DataFrame:
     """The chunker by its name."""
     check_chunking(chunker, chunk_size)

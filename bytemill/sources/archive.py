@@ -1,9 +1,9 @@
 """A Spark data source for archive files, and one for blocks of any file, both by ranged reads.
 
-`spark.read.format("bytemill_archive").option("layout", "checked").load(path or folder)` has a row for each chunk. Headers and tables are
-read while planning (they are small); tasks then read only the payload ranges of their chunks. Option payload=false leaves
-the payloads out, so nothing but tables is read; filters on algorithm and chunk_idx are applied to the tables.
-Paths must be readable where driver and executors run.
+`spark.read.format("bytemill_archive").option("layout", "checked").load(path or folder)` has a row for each chunk. Planning lists files and, of
+those above TASK_BYTES, reads the header of fixed size; tasks read the entries of the tables that are theirs, and the payload ranges
+of their chunks. Option payload=false leaves the payloads out, so nothing but tables is read; filters on algorithm and chunk_idx
+are applied to the tables. Paths must be readable where driver and executors run.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ def read_tables(path: str, layout: Layout) -> tuple[dict, list[dict]]:
         return header, layout.read_table(f.read(header["chunks"] * layout.entry.size), header["chunks"])
 
 
-class _Chunks(InputPartition):
-    def __init__(self, path: str, rows: list[tuple]):
-        self.path, self.rows = path, rows
+class _Entries(InputPartition):
+    """Entries first to last of an archive's table; all of them if last is None."""
+
+    def __init__(self, path: str, first: int = 0, last: int | None = None):
+        self.path, self.first, self.last = path, first, last
 
 
 class ArchiveReader(DataSourceReader):
@@ -54,35 +56,38 @@ class ArchiveReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
+        out: list[InputPartition] = []
         for path in listed(self.path):
-            header, table = read_tables(path, self.layout)
-            base, held, size = self.layout.payload_at(header["chunks"]), [], 0
-            for i, e in enumerate(table):
+            size = os.path.getsize(path)
+            if size <= TASK_BYTES:
+                out.append(_Entries(path))
+                continue
+            with open(path, "rb") as f:
+                n = self.layout.read_header(f.read(self.layout.header.size))["chunks"]
+            step = max(1, n * TASK_BYTES // size)
+            out += [_Entries(path, i, min(n, i + step)) for i in range(0, n, step)]
+        return out or [_Entries("")]
+
+    def read(self, partition: _Entries) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        with open(partition.path, "rb") as f:
+            n = self.layout.read_header(f.read(self.layout.header.size))["chunks"]
+            first, last = partition.first, n if partition.last is None else partition.last
+            f.seek(self.layout.header.size + first * self.layout.entry.size)
+            table = self.layout.read_table(f.read((last - first) * self.layout.entry.size), last - first)
+            base = self.layout.payload_at(n)
+            for i, e in enumerate(table, first):
                 try:
                     name = codecs.name_of(e["algorithm_id"])
                 except KeyError as problem:
-                    raise self.layout.error(f"{path}: {problem}") from problem
-                row = {"algorithm": name, "chunk_idx": i}
-                if not all(_COMPARE[kind](row[c], v) for c, kind, v in self.filters):
+                    raise self.layout.error(f"{partition.path}: {problem}") from problem
+                known = {"algorithm": name, "chunk_idx": i}
+                if not all(_COMPARE[kind](known[c], v) for c, kind, v in self.filters):
                     continue
-                held.append((i, e, base + e["offset"]))
-                size += e["compressed"]
-                if size >= TASK_BYTES:
-                    out.append(_Chunks(path, held))
-                    held, size = [], 0
-            if held:
-                out.append(_Chunks(path, held))
-        return out or [_Chunks("", [])]
-
-    def read(self, partition: _Chunks) -> Iterator[tuple]:
-        if not partition.rows:
-            return
-        with open(partition.path, "rb") as f:
-            for i, e, at in partition.rows:
-                row = (partition.path, i, codecs.name_of(e["algorithm_id"]), e["length"], e["compressed"], e["offset"], e["checksum"].hex() if e["checksum"] else None)
+                row = (partition.path, i, name, e["length"], e["compressed"], e["offset"], e["checksum"].hex() if e["checksum"] else None)
                 if self.payload:
-                    f.seek(at)
+                    f.seek(base + e["offset"])
                     data = f.read(e["compressed"])
                     if len(data) < e["compressed"]:
                         raise self.layout.error("payload ends behind the archive")

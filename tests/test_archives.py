@@ -156,3 +156,17 @@ def test_long_homogeneous_text_warns(spark, tmp_path):
     source.write_bytes(TEXT * 3)
     with pytest.warns(files.OversizedChunkWarning):
         assert len(files.build_manifest(spark, str(source), "content_aware", algorithm="store")["chunks"]) == 1
+
+
+def test_planning_splits_a_large_archive_by_entries(spark, tmp_path, monkeypatch):
+    from bytemill import files
+    from bytemill.sources import archive
+
+    (tmp_path / "f").write_bytes(NOISE * 20)
+    files.compress(spark, str(tmp_path / "f"), str(tmp_path / "a"), algorithm="store", keep_manifest=False)
+    whole = [r for p in archive.ArchiveReader({"path": str(tmp_path / "a")}).partitions() for r in archive.ArchiveReader({"path": str(tmp_path / "a")}).read(p)]
+    monkeypatch.setattr(archive, "TASK_BYTES", 10_000)
+    reader = archive.ArchiveReader({"path": str(tmp_path / "a")})
+    parts = reader.partitions()
+    assert len(parts) > 3 and [r for p in parts for r in reader.read(p)] == whole
+    assert b"".join(r[-1] for r in whole) == NOISE * 20

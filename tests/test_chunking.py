@@ -76,6 +76,32 @@ def test_content_aware_equals_the_loop(spark, values):
         assert all(r["length"] >= LEAST_RUN for r in mine[:-1])
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_runs_over_blocks_equal_the_loop(spark, size):
+    r = random.Random(size)
+    values = [b"".join(r.choice([PANGRAM, b"0123456789abcdef", b"\x80\xff\x01"]) * r.randrange(1, 200) for _ in range(12)) for _ in range(4)] + [b"", b"q", b"x" * 512, b"x" * 513]
+    step = size * WINDOW
+    blocks = [(str(i), a, v[a : a + step]) for i, v in enumerate(values) for a in range(0, len(v), step)]
+    r.shuffle(blocks)
+    rows = chunking.runs_of_blocks(spark.createDataFrame(blocks, "path string, offset long, content binary")).orderBy("path", "chunk_idx").collect()
+    for i, v in enumerate(values):
+        mine = [x for x in rows if x["path"] == str(i)]
+        assert [x["offset"] for x in mine] + ([mine[-1]["offset"] + mine[-1]["length"]] if mine else []) == (plain(v) if v else [])
+        assert [x["chunk_idx"] for x in mine] == list(range(len(mine)))
+
+
+def test_runs_of_a_file_over_blocks(spark, tmp_path, monkeypatch):
+    from bytemill import files
+
+    monkeypatch.setattr(files, "BLOCK", 2 * WINDOW)
+    data = (PANGRAM * 80 + random.Random(2).randbytes(3000)) * 5
+    (tmp_path / "f").write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+    rows = files.file_chunks(spark, str(tmp_path / "f"), "content_aware").orderBy("chunk_idx").collect()
+    assert b"".join(bytes(x["content"]) for x in rows) == data and [x["offset"] for x in rows] + [len(data)] == plain(data)
+    assert files.file_chunks(spark, str(tmp_path / "empty"), "content_aware").count() == 0
+
+
 def test_parameters_are_checked_at_once(spark):
     df = sources(spark, b"x")
     for call in (lambda: chunking.fixed(df, 0), lambda: chunking.chunk(df, "other"), lambda: chunking.content_aware(df, window=0), lambda: chunking.content_aware(df, entropy=9), lambda: chunking.content_aware(df, printable=1.1), lambda: chunking.content_aware(df, hexes=-1), lambda: chunking.content_aware(df, least_run=0), lambda: chunking.chunk(df, "content_aware", -1)):

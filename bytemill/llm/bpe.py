@@ -7,8 +7,11 @@ ones than the present included. A long pre-token of n bytes costs O(n log n) wha
 without a space are no special case. Short ones share a queue: a step then takes the leftmost entry of each
 pre-token in the bucket, all at once in NumPy, and puts the rest back.
 
-Nulls and empty texts have no ids and decode to an empty text. Rows are neither dropped nor merged; columns
-other than the two named are ignored.
+With the pattern QUICK (the one that ships with the vocabularies) a text is cut at single spaces between visible characters first, where
+each match begins anew, and plain words skip the pattern; any other pattern runs over whole texts.
+
+Nulls and empty texts have no ids and decode to an empty text. Rows are neither dropped nor merged, an empty table gives an empty
+result; columns other than those named are ignored, and a column that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from bytemill.llm.arrow import mapped, slices
 CACHE, PIECE = 200_000, 8 << 20
 #: Pre-tokens of more bytes than this go through the queue one by one; of the others, so many share one.
 LONG, TOGETHER = 256, 100_000
+#: The pattern for which the short cuts hold, a fixed value.
+QUICK = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode White_Space, which `\s` means in the pattern.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -107,7 +112,7 @@ class Encoder:
     """Ranks and pattern made ready; the id of a token is its rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.size = ranks, max(ranks.values()) + 1
+        self.ranks, self.size, self.quick = ranks, max(ranks.values()) + 1, pattern == QUICK
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pieces = regex.compile(white(pattern)).findall
         self.apart = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])").split
@@ -265,6 +270,10 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of int32."""
+        if not self.quick:
+            cut = [self.pieces(t) if t else [] for t in texts]
+            known = self._known(set().union(*cut), "", self.heads, whole=True)
+            return [b"".join(map(known.__getitem__, c)) for c in cut]
         first, rest, plain = set(), set(), []
         for t in texts:
             plain.append(bool(t) and self.plain(t))
@@ -282,10 +291,10 @@ class Encoder:
                 out.append(b"")
         return out
 
-    def _known(self, segments: set[str], lead: str, cache: Recent) -> dict[str, bytes]:
-        """Ids of lead + segment, for these segments at least."""
+    def _known(self, segments: set[str], lead: str, cache: Recent, whole: bool = False) -> dict[str, bytes]:
+        """Ids of lead + segment, for these segments at least; whole: they are matches of the pattern already."""
         todo = cache.missing(segments)
-        found = [self.cut(s, lead) for s in todo]
+        found = [[s] if whole else self.cut(s, lead) for s in todo]
         ids: dict[str, bytes] = {}
         short, long = [], []
         for p in set().union(*found):
@@ -357,17 +366,19 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "
     """df with the bytes that the ids stand for (null ids: null)."""
     with open(rank_file) as f:
         held = df.sparkSession.sparkContext.broadcast(tuple(f.read().splitlines()))
-    names = df.columns
+    kept = [f for f in df.schema.fields if f.name != out_col]
+    source = df.select(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(kept)], F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(held.value)
         for batch in batches:
-            ids = batch.column(ids_col)
+            ids = batch.column("ids")
             found = _decoded(tokens, ids.offsets.to_numpy().tolist(), ids.values.to_numpy(zero_copy_only=False))
             texts = [None if z else t for t, z in zip(found, ids.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, type=pa.binary())], names=[f.name for f in (*kept, made)])
 
-    return mapped(df, run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
+    made = StructField(out_col, BinaryType())
+    return mapped(source, run, StructType([*kept, made]))
 
 
 def digest_of_ids(ids: Column) -> Column:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -5,7 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from bytemill.llm import bpe
+from bytemill.llm import bpe, queries
 
 FILE = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,6 +39,37 @@ def test_same_ids_as_the_library(both):
         assert memoryview(ids).cast("i").tolist() == library.encode_ordinary(text), text
 
 
+@pytest.mark.parametrize("pattern", [r"\w+|\s+|[^\w\s]+", r"\p{L}+|[^\p{L}]", r"(?s:.{1,7})", P.PATTERN + " "])
+def test_other_patterns_run_as_they_are(both, pattern):
+    ranks = both[0].ranks
+    encoder, library = bpe.Encoder(ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    texts = ["the cat sat", None, "", *("".join(r.choices(["a", "the", " ", "  ", "\n", "é", "12", "!", "'s"], k=r.randrange(40))) for _ in range(300))]
+    for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
+        assert memoryview(ids).cast("i").tolist() == library.encode_ordinary(text or ""), text
+
+
+def test_query_against_the_library(spark, tmp_path, both):
+    _, library = both
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choices(["the", "Hund", "naïve", "x1", "日本", "\n", "don't", "", "😀"], k=r.randrange(50)))) for i in range(200)]
+    rows += [(1000, None), (1001, ""), (None, "abc"), (5, "again"), (5, "again"), (1002, "ab" * 200_000), (1003, "x " * 200_000)]
+    spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, decoded string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = queries.op3_bpe(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    df = spark.createDataFrame([([256], "x"), (None, "y")], "ids array<int>, decoded string")
+    out = bpe.decode(df, FILE)
+    assert out.columns == ["ids", "decoded"] and out.count() == 2
+
+
 def test_a_long_pre_token_stays_near_linear(both):
     encoder, library = both
     text = "".join(random.Random(3).choices("abcdefgh", k=300_000))

@@ -1,18 +1,22 @@
 """Exact top-k by inner product with distributed histogram selection.
 
-Components become floor(scale * x). Queries go in blocks of about BLOCK, each small enough for every task. For one block:
-
-1. each task scores its vectors against the block and counts the scores of each query in BINS bins over the possible
-   range. It sends only the bins from its own kth best score up, which loses nothing: the kth best of all is no lower;
-2. the summed counts show the bin that holds each query's kth best; that bin becomes the range of the next round, until
-   bins are one score wide, so the kth value and the number of scores above it are exact;
+Components become floor(scale * x). Queries go in blocks of BLOCK, and so many blocks are broadcast together as make GROUP queries at
+most; that is the only loop of the driver. For one group:
+
+1. each task holds its vectors, HELD bytes at a time, scores them against one block after the other and counts the scores of each query in BINS
+   bins over the possible range. It sends only the bins from its own kth best score up, which loses nothing: the kth best of all is no
+   lower. So at most k counts a query and piece leave a task;
+2. the counts are summed and cumulated in Spark, and the driver gets one row a query: the bin that holds its kth best and how many scores lie
+   above; that bin becomes the range of the next round, until bins are one score wide, so the kth value and the number
+   above it are exact;
 3. a last pass keeps the scores above that value and, of those equal to it, each task's smallest ids; the
    ties that remain are broken by id. At most k rows a query and task leave the tasks, however many copies tie.
 
 A vector that is null, empty, or holds null or non-finite components takes no part, nor one without an id; vectors
 of other lengths than a query are no candidates for it. Rows with repeated ids are candidates each; a query never
 meets rows of its own id. Scores are exact: in float64 while all sums stay below 2**53, else in Python's integers. Scores beyond 64 bits are
-cut to them in the result and then rank by id.
+cut to them in the result and then rank by id. An empty table, or no queries, give an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bytemill.llm.shared import kept
 
-BLOCK, BINS, ROWS = 1024, 512, 2048
+BLOCK, GROUP, BINS, ROWS, HELD = 1024, 65_536, 512, 2048, 64 << 20
 
 
 def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,46 +84,60 @@ class Block:
         kind = object if max(map(abs, [*self.low, *self.span])) >= 1 << 52 else np.float64
         return np.array(self.low, dtype=kind), np.array(self.span, dtype=kind), np.array([self.width(i) for i in range(len(self.ids))], dtype=kind)
 
-    def narrow(self, found: dict[int, list[tuple[int, int]]]) -> bool:
-        """Takes the counts of each query's bins, highest first; whether any query is still open."""
+    def narrow(self, found: dict[int, tuple[int, int]]) -> bool:
+        """Takes, for each query that has k scores, the bin of the kth best and how many of this range's scores lie above it; whether any query is still open."""
         for i in range(len(self.ids)):
             if not self.span[i]:
                 continue
-            for at, n in found.get(i, []):
-                if self.above[i] + n >= self.k:
-                    width = self.width(i)
-                    self.low[i], self.span[i] = self.low[i] + at * width, 0 if width == 1 else width
-                    break
-                self.above[i] += n
+            if i in found:
+                at, over = found[i]
+                width = self.width(i)
+                self.above[i] += over
+                self.low[i], self.span[i] = self.low[i] + at * width, 0 if width == 1 else width
             else:
                 self.low[i], self.span[i] = self.low[i] - 1, 0
         return any(self.span)
 
 
-def _counts(blocks: list[Block], scale: float):
+def _counts(shared, scale: float):
+    """(block, i, bin, need, n): need is how many scores of its range a query still needs for its kth."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((len(b.ids), BINS), dtype=np.int64) for b in blocks]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            for n, b in enumerate(shared.value):
+                low, span, width = b.arrays()
+                h = np.zeros((len(b.ids), BINS), dtype=np.int64)
+                for ids, x in held:
+                    if x.shape[1] == b.q.shape[1]:
+                        past = scores(x, b.q) - low
+                        ok = ((past >= 0) & (past < span) & (ids[:, None] != b.ids)).astype(bool)
+                        cell = np.nonzero(ok)[1] * BINS + (past // width)[ok].astype(np.int64)
+                        h += np.bincount(cell, minlength=h.size).reshape(h.shape)
+                over = h[:, ::-1].cumsum(axis=1)[:, ::-1] - h  # in higher bins, here
+                need = np.array([b.k - a for a in b.above])
+                i, at = np.nonzero((h > 0) & (over < need[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n), pa.int32()), pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(need[i], pa.int64()), pa.array(h[i, at])], names=["block", "i", "bin", "need", "n"])
+
         for batch in batches:
             for ids, x in vectors(batch, scale):
-                for b, h in zip(blocks, held, strict=True):
-                    if x.shape[1] != b.q.shape[1] or not len(x):
-                        continue
-                    low, span, width = b.arrays()
-                    past = scores(x, b.q) - low
-                    ok = ((past >= 0) & (past < span) & (ids[:, None] != b.ids)).astype(bool)
-                    cell = np.nonzero(ok)[1] * BINS + (past // width)[ok].astype(np.int64)
-                    h += np.bincount(cell, minlength=h.size).reshape(h.shape)
-        for n, (b, h) in enumerate(zip(blocks, held, strict=True)):
-            over = h[:, ::-1].cumsum(axis=1)[:, ::-1] - h  # in higher bins, here
-            need = np.array([b.k - a for a in b.above])[:, None]
-            i, at = np.nonzero((h > 0) & (over < need))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n), pa.int32()), pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(h[i, at])], names=["block", "i", "bin", "n"])
+                if len(x):
+                    held.append((ids, x))
+                    size += x.nbytes
+                if size >= HELD:
+                    yield from answer()
+                    held, size = [], 0
+        if held:
+            yield from answer()
 
     return run
 
 
-def _best(blocks: list[Block], scale: float):
+def _best(shared, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = shared.value
         ties: dict[tuple[int, int], list[int]] = {}
         for batch in batches:
             for ids, x in vectors(batch, scale):
@@ -156,30 +174,34 @@ def _norm(scale: float):
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of df for each row of queries (both with id_col and vec_col)."""
+    sc = df.sparkSession.sparkContext
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     norm = max((int(r["norm"]) for r in rows.mapInArrow(_norm(scale), "norm string").select("norm").distinct().collect()), default=0)
-    parts = max(1, math.ceil(asked.count() / BLOCK))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    groups = max(1, math.ceil(asked.count() / GROUP))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)))
     done = None
-    for part in range(parts):
+    for part in range(groups):
         by: dict[int, list] = {}
         for batch in asked.where(F.col("part") == part).select("id", "v").toArrow().to_batches():
             for ids, q in vectors(batch, scale):
                 by.setdefault(q.shape[1], []).append((ids, q))
-        blocks = [Block(np.concatenate([i for i, _ in x]), np.concatenate([q for _, q in x]), k, norm) for x in by.values()]
-        blocks = [b for b in blocks if len(b.ids)]
+        blocks: list[Block] = []
+        for x in by.values():
+            ids, q = np.concatenate([i for i, _ in x]), np.concatenate([q for _, q in x])
+            blocks += [Block(ids[i : i + BLOCK], q[i : i + BLOCK], k, norm) for i in range(0, len(ids), BLOCK)]
         open_ = bool(blocks)
         while open_:
-            counts = rows.mapInArrow(_counts(blocks, scale), "block int, i int, bin int, n long").groupBy("block", "i", "bin").agg(F.sum("n").alias("n"))
-            found: list[dict[int, list]] = [{} for _ in blocks]
-            for r in sorted(counts.collect(), key=lambda r: -r["bin"]):
-                found[r["block"]].setdefault(r["i"], []).append((r["bin"], r["n"]))
+            counts = rows.mapInArrow(_counts(sc.broadcast(blocks), scale), "block int, i int, bin int, need long, n long").groupBy("block", "i", "bin", "need").agg(F.sum("n").alias("n"))
+            upto = F.sum("n").over(Window.partitionBy("block", "i").orderBy(F.desc("bin")))
+            found: list[dict[int, tuple[int, int]]] = [{} for _ in blocks]
+            for r in counts.withColumn("upto", upto).where("upto >= need and upto - n < need").select("block", "i", "bin", (F.col("upto") - F.col("n")).alias("over")).collect():
+                found[r["block"]][r["i"]] = r["bin"], r["over"]
             open_ = any([b.narrow(f) for b, f in zip(blocks, found, strict=True)])
-        one = rows.mapInArrow(_best(blocks, scale), "query_id long, row int, vec_id long, score long")
+        one = rows.mapInArrow(_best(sc.broadcast(blocks), scale), "query_id long, row int, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
         one = one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        if parts > 1:
+        if groups > 1:
             one = kept(one)
         done = one if done is None else done.union(one)
     return done

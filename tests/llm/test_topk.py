@@ -34,7 +34,8 @@ def test_same_as_brute_force_with_ties_and_odd_rows(spark):
 
 
 def test_fewer_than_k_empty_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 2)
+    for name, value in (("BLOCK", 2), ("GROUP", 5), ("HELD", 400)):
+        monkeypatch.setattr(topk, name, value)
     rows = data(4, 300)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for k in (1, 7, 1000):

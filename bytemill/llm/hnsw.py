@@ -1,22 +1,26 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one class from the start. Classes are dealt to shards by a hash; each shard builds a graph of its members, and
-every class queries every shard of vectors of its length. Insertion and search run in NumPy for a whole batch of
+Equal vectors are one class from the start. Classes are dealt to shards by a hash; each shard builds a graph of its members once, audits it
+and writes it to the shared folder. Every class queries every shard of vectors of its length: a task holds one graph and a slice of
+about SLICE queries, so neither a large table nor a hot shard is one task's. Insertion and search run in NumPy for a whole batch of
 vectors in lock step. A query descends the layers, searches the bottom one with a beam, and then
 follows links from every member at the threshold or above to further such members, so a dense group of any size
 is found whole without a beam of its size. Cosines that look like links are verified in double precision.
 
-Before it answers, each shard audits its graph: AUDIT members are turned by a random direction to the very
-threshold, and the beam is doubled until the members are found again with a recall of RECALL.
+A shard's audit has two parts, and both must reach a recall of RECALL: AUDIT members are turned by a random direction to the very
+threshold and must be found again, and for AUDIT members all links, as brute force finds them, must be found. The beam is doubled until
+they are; where even a beam of the whole shard does not do, the shard is searched by brute force, in blocks. The result names the least recall of any shard.
 
-Links are not emitted as pairs: a query returns how many members of a shard it links to and one of them; the shard unites
+Links are not emitted as pairs: a query returns how many members of a shard it links to and one of them; the task unites
 the members that one query links. Components of those edges are the result. Rows whose vector is null,
 empty, zero or holds null or non-finite components, or whose id is null, have no links; vectors of different lengths
-are not compared. Repeated rows are vectors of their own, linked to each other.
+are not compared. Repeated rows are vectors of their own, linked to each other; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.llm.arrow import mapped
+from bytemill.llm.arrow import groups, mapped
 from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
 #: Links a node keeps (twice as many in the bottom layer), beam while building and at first in search, batch sizes.
 M, BUILD, BEAM, BATCH = 12, 48, 32, 512
 AUDIT, RECALL = 256, 0.995
-#: Least number of shards, and the most classes of a shard.
-SHARDS, MEMBERS = 8, 50_000
+#: Least number of shards, most classes and bytes of vectors of a shard, queries that share a task, bytes of a row that holds a part of a graph.
+SHARDS, MEMBERS, BYTES, SLICE, PART = 4, 50_000, 64 << 20, 8192, 4 << 20
 
 
 class Graph:
     """A layered graph over the rows of x (unit vectors)."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1):
+    def __init__(self, x: np.ndarray, seed: int = 1, links: list[np.ndarray] | None = None):
+        """links: those of a graph of the same x and seed that was built before."""
         self.x = np.ascontiguousarray(x, dtype=np.float32)
         n = len(x)
         level = np.minimum(8, (-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(M)).astype(int))
         order = np.argsort(-level, kind="stable")
         self.x, self.row, level = self.x[order], order, level[order]  # nodes are numbered from the highest layer down
         self.sizes = [int((level >= k).sum()) for k in range(int(level[0]) + 1 if n else 0)]
+        if links is not None:
+            self.links = links
+            return
         self.links = [np.full((s, 2 * M if not k else M), -1, dtype=np.int32) for k, s in enumerate(self.sizes)]
         done = 0
         while done < n:
@@ -182,20 +190,35 @@ class Graph:
         return np.concatenate([f[0] for f in found]), self.row[np.concatenate([f[1] for f in found])]
 
 
+def brute(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row of x) of all pairs with a product of `least` or more, in blocks."""
+    found = []
+    for i in range(0, len(x), 1 << 14):
+        r, c = np.nonzero(q @ x[i : i + (1 << 14)].T >= least)
+        found.append((r, c + i))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
 def audited(graph: Graph, x: np.ndarray, least: float, beam: int = BEAM) -> tuple[int, float]:
-    """The beam with which members are found from vectors at the very threshold, and the recall then."""
+    """The beam with which planted members and all links of some members are found, and the recall (the lower of both) then; a beam of 0 if none does."""
     r = np.random.default_rng(7)
     some = r.permutation(len(x))[:AUDIT]
     v = x[some]
     aside = r.normal(size=v.shape)
     aside -= (aside * v).sum(axis=1, keepdims=True) * v
     length = np.linalg.norm(aside, axis=1, keepdims=True)
-    q = np.where(length > 1e-9, least * v + np.sqrt(1 - least * least) * aside / np.maximum(length, 1e-9), v)
+    planted = np.where(length > 1e-9, least * v + np.sqrt(1 - least * least) * aside / np.maximum(length, 1e-9), v)
+    a, b = brute(x, v, least)
+    links = a * len(x) + b
     while True:
-        query, node = graph.within(q.astype(np.float32), least - 1e-4, beam)
-        recall = len(np.unique(query[node == some[query]])) / max(1, len(some))
-        if recall >= RECALL or beam >= len(x):
-            return beam, recall
+        query, node = graph.within(planted.astype(np.float32), least - 1e-4, beam)
+        again = len(np.unique(query[node == some[query]])) / max(1, len(some))
+        query, node = graph.within(v.astype(np.float32), least - 1e-4, beam)
+        recall = min(again, np.isin(links, query * len(x) + node).mean() if len(links) else 1.0)
+        if recall >= RECALL:
+            return beam, float(recall)
+        if beam >= len(x):
+            return 0, float(recall)
         beam *= 2
 
 
@@ -204,14 +227,42 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _vectors(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
+    column = batch.column("v")
+    at = column.offsets.to_numpy().astype(np.int64)
+    return _unit(column.values.to_numpy(zero_copy_only=False)[at[a] : at[b]].reshape(b - a, -1).astype(np.float64))
+
+
+def _build(least: float):
+    """Rows (shard, part, blob, recall): each shard's members and graph in parts of PART bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "shard"):
+            whole = table.combine_chunks().to_batches()[0]
+            x = _vectors(whole, 0, whole.num_rows)
+            graph = Graph(x)
+            beam, recall = audited(graph, x, least)
+            blob = _packed({"ids": whole.column("rep").to_numpy(), "weight": whole.column("weight").to_numpy(), "x": x, "beam": np.array(beam), **{f"links{k}": v for k, v in enumerate(graph.links)}})
+            for i in range(0, len(blob), PART):
+                yield pa.RecordBatch.from_arrays([whole.column("shard").slice(0, 1), pa.array([i // PART]), pa.array([blob[i : i + PART]], pa.binary()), pa.array([recall if beam else 1.0])], names=["shard", "part", "blob", "recall"])
+
+    return run
+
+
 class _Shard:
-    """One shard's graph and which of its members queries have united."""
+    """One shard's graph as it was written, and which of its members queries have united."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, least: float):
-        self.ids, self.weight, self.x, self.least = ids, weight, x, least
-        self.graph = Graph(x)
-        self.beam, self.recall = audited(self.graph, x, least)
-        self.up = list(range(len(ids)))
+    def __init__(self, blob: bytes, least: float):
+        held = np.load(io.BytesIO(blob))
+        self.ids, self.weight, self.x, self.beam, self.least = held["ids"], held["weight"], held["x"], int(held["beam"]), least
+        self.graph = Graph(self.x, links=[held[f"links{k}"] for k in range(sum(n.startswith("links") for n in held.files))])
+        self.up = list(range(len(self.ids)))
 
     def root(self, i: int) -> int:
         up = self.up
@@ -225,7 +276,7 @@ class _Shard:
         out = []
         for i in range(0, len(ids), BATCH):
             q, some = x[i : i + BATCH], ids[i : i + BATCH]
-            query, member = self.graph.within(q.astype(np.float32), self.least - 1e-4, self.beam)
+            query, member = self.graph.within(q.astype(np.float32), self.least - 1e-4, self.beam) if self.beam else brute(self.x, q, self.least - 1e-4)
             exact = np.concatenate([np.einsum("id,id->i", q[query[j : j + 50_000]], self.x[member[j : j + 50_000]]) for j in range(0, len(query), 50_000)] or [np.zeros(0)])
             keep = (exact >= self.least) & (self.ids[member] != some[query])
             query, member = query[keep], member[keep]
@@ -240,56 +291,59 @@ class _Shard:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _run(least: float):
+def _search(least: float):
+    """Rows (rep, links, other) from rows sorted by shard, slice and part: the parts of a graph, then the queries (part null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "links", "other"]
-        held: list[tuple] = []
-        now, shard = None, None
+        now, shard, blob = None, None, []
 
         def united() -> Iterator[pa.RecordBatch]:
             if shard:
-                roots = np.array([shard.root(i) for i in range(len(shard.ids))])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.ids), pa.array(np.zeros(len(roots), np.int64)), pa.array(shard.ids[roots])], names=names)
+                i = np.array([i for i in range(len(shard.ids)) if shard.up[i] != i], dtype=np.int64)
+                roots = np.array([shard.root(k) for k in i.tolist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.ids[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(shard.ids[roots])], names=names)
 
         for batch in batches:
-            column, key, asks = batch.column("v"), batch.column("shard").to_numpy(), batch.column("asks").to_numpy()
-            ids, weight = batch.column("rep").to_numpy(), batch.column("weight").to_numpy()
-            at, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
-            code = key * 2 + asks
-            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)] if len(code) else [0]
+            key = list(zip(batch.column("shard").to_pylist(), batch.column("slice").to_pylist(), batch.column("blob").is_null().to_pylist(), strict=True))
+            cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)] if key else [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                x = _unit(flat[at[a] : at[b]].reshape(b - a, -1).astype(np.float64))
-                if key[a] != now:
+                if key[a][:2] != now:
                     yield from united()
-                    now, shard, held = key[a], None, []
-                if not asks[a]:
-                    held.append((ids[a:b], weight[a:b], x))
+                    now, shard, blob = key[a][:2], None, []
+                if not key[a][2]:
+                    blob += batch.column("blob").slice(a, b - a).to_pylist()
                     continue
                 if shard is None:
-                    shard, held = _Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), least), []
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in shard.answer(ids[a:b], x)], names=names)
+                    shard, blob = _Shard(b"".join(blob), least), []
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in shard.answer(batch.column("rep").slice(a, b - a).to_numpy(), _vectors(batch, a, b))], names=names)
         yield from united()
 
     return run
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
-    """One row per row of df: id_col, n_links, component_id (least id reachable), kept. Ids are integers."""
+    """One row per row of df: id_col, n_links, component_id (least id reachable), kept, recall (the least audited in any shard). Ids are integers."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = kept(rows.withColumn("mark", F.when(F.col("id").isNotNull() & fine, F.sha2(F.to_json(F.struct("v")), 256))))
     classes = kept(rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")))
-    shards = max(SHARDS, -(-classes.count() // MEMBERS))
+    n, wide = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    shards = max(SHARDS, -(-n // max(1000, min(MEMBERS, BYTES // (12 * wide)))))
+    slices = max(1, -(-n // SLICE))
     base = F.size("v") * shards
-    members = classes.select((base + F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int")).cast("long").alias("shard"), F.lit(0).alias("asks"), "rep", "weight", "v")
-    queries = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: (base + i).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "rep", "weight", "v")
-    full = members.select("shard").distinct()  # a query asks no empty shard
-    dealt = members.union(queries.join(F.broadcast(full), "shard").select(members.columns))
-    found = kept(mapped(dealt.repartition("shard").sortWithinPartitions("shard", "asks"), _run(least), "rep long, links long, other long"))
+    members = classes.select((base + F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int")).cast("long").alias("shard"), "rep", "weight", "v")
+    graphs = kept(mapped(members.repartition("shard").sortWithinPartitions("shard"), _build(least), "shard long, part long, blob binary, recall double"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    parts = graphs.select("shard", each.alias("slice"), "part", "blob", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("v"))
+    queries = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: (base + i).cast("long"))).alias("shard"), F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("blob"), "rep", "v")
+    queries = queries.join(F.broadcast(graphs.where("part = 0").select("shard")), "shard", "left_semi").select(parts.columns)  # a query asks no empty shard
+    dealt = parts.union(queries).repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", F.asc_nulls_last("part"))
+    found = kept(mapped(dealt, _search(least), "rep long, links long, other long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     own = classes.select("mark", "rep", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     own = own.select("mark", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "mark").join(own, "mark", "left")
+    out = rows.select("id", "mark").join(own, "mark", "left").join(F.broadcast(graphs.agg(F.min("recall").alias("recall"))))
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "recall")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from bytemill.llm import hnsw
 
@@ -49,14 +50,32 @@ def test_graph_finds_what_brute_force_finds():
     assert len(found & want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("recall", [1.1, hnsw.RECALL])
+def test_a_shard_whose_audit_fails_is_searched_by_brute_force(monkeypatch, recall):
+    monkeypatch.setattr(hnsw, "RECALL", recall)
+    x = data(200, 5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    beam, found = hnsw.audited(graph, x, 0.9)
+    assert (beam == 0) == (recall > 1) and found <= 1
+    ids = np.arange(200)
+    arrays = {"ids": ids, "weight": np.ones(200, np.int64), "x": x, "beam": np.array(beam), **{f"links{k}": v for k, v in enumerate(graph.links)}}
+    rep, links, _ = hnsw._Shard(hnsw._packed(arrays), 0.9).answer(ids, x)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert dict(zip(rep.tolist(), links.tolist())) == {i: int(n) for i, n in enumerate(want) if n}
+
+
 def test_rows_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(hnsw, "SHARDS", 3)
+    for name, value in (("SHARDS", 3), ("SLICE", 40), ("PART", 5000)):
+        monkeypatch.setattr(hnsw, name, value)
     x = data(260, 2).astype(np.float32)
     vectors = [v.tolist() for v in x]
     ids = list(range(260))
     odd = [None, [], [0.0] * 24, [float("nan")] * 24, [1.0, None], [float("inf")] * 24, [1.0, 2.0], [2.0, 4.0], [3.0], vectors[3], vectors[3]]
     vectors, ids = vectors + odd, ids + [500 + i for i in range(len(odd) - 2)] + [3, None]
     df = spark.createDataFrame([(i, v, 1) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>, links int")
-    got = sorted((tuple(r) for r in hnsw.near_duplicates(df).collect()), key=repr)
+    out = hnsw.near_duplicates(df).collect()
+    assert {r.recall for r in out} <= {1.0} or min(r.recall for r in out) >= hnsw.RECALL
+    got = sorted((tuple(r)[:4] for r in out), key=repr)
     assert got == brute(ids, vectors, 0.9)
     assert hnsw.near_duplicates(df.limit(0)).count() == 0

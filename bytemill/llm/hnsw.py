@@ -9,7 +9,7 @@ is found whole without a beam of its size. Cosines that look like links are veri
 
 A shard's audit has two parts, and both must reach a recall of RECALL: AUDIT members are turned by a random direction to the very
 threshold and must be found again, and for AUDIT members all links, as brute force finds them, must be found. The beam is doubled until
-they are; where even a beam of the whole shard does not do, the shard is searched by brute force, in blocks. The result names the least recall of any shard.
+they are; where WIDEST does not do (a dense group in which members lack links to each other, say), the shard is searched by brute force, in blocks. The result names the least recall of any shard.
 
 Links are not emitted as pairs: a query returns how many members of a shard it links to and one of them; the task unites
 the members that one query links. Components of those edges are the result. Rows whose vector is null,
@@ -32,8 +32,8 @@ from bytemill.llm.arrow import groups, mapped
 from bytemill.llm.graph import components
 from bytemill.llm.shared import kept
 
-#: Links a node keeps (twice as many in the bottom layer), beam while building and at first in search, batch sizes.
-M, BUILD, BEAM, BATCH = 12, 48, 32, 512
+#: Links a node keeps (twice as many in the bottom layer), beam while building, at first in search and at most, batch sizes.
+M, BUILD, BEAM, WIDEST, BATCH = 12, 48, 32, 256, 512
 AUDIT, RECALL = 256, 0.995
 #: Least number of shards, most classes and bytes of vectors of a shard, queries that share a task, bytes of a row that holds a part of a graph.
 SHARDS, MEMBERS, BYTES, SLICE, PART = 4, 50_000, 64 << 20, 8192, 4 << 20
@@ -217,7 +217,7 @@ def audited(graph: Graph, x: np.ndarray, least: float, beam: int = BEAM) -> tupl
         recall = min(again, np.isin(links, query * len(x) + node).mean() if len(links) else 1.0)
         if recall >= RECALL:
             return beam, float(recall)
-        if beam >= len(x):
+        if beam >= WIDEST:
             return 0, float(recall)
         beam *= 2
 

@@ -34,9 +34,9 @@ from bytemill.llm.shared import kept
 
 #: Links a node keeps (twice as many in the bottom layer), beam while building, at first in search and at most, batch sizes.
 M, BUILD, BEAM, WIDEST, BATCH = 12, 48, 32, 256, 512
-AUDIT, RECALL = 256, 0.995
+AUDIT, RECALL, NEAREST = 256, 0.995, 4
 #: Least number of shards, most classes and bytes of vectors of a shard, queries that share a task, bytes of a row that holds a part of a graph.
-SHARDS, MEMBERS, BYTES, SLICE, PART = 4, 50_000, 64 << 20, 8192, 4 << 20
+SHARDS, MEMBERS, BYTES, SLICE, PART = 2, 50_000, 64 << 20, 8192, 4 << 20
 
 
 class Graph:
@@ -59,6 +59,8 @@ class Graph:
             end = min(n, done + max(1, min(BATCH, done)))
             self._insert(done, end)
             done = end
+        if n > 1:
+            self._adopt()
 
     def _insert(self, a: int, b: int) -> None:
         q = self.x[a:b]
@@ -76,6 +78,24 @@ class Graph:
             ids = np.where(own > -2, ids, -1)
             self._connect(k, np.arange(a, end), ids, own)
 
+    def _adopt(self) -> None:
+        """Sees to it that each node of the bottom layer is linked from one of its NEAREST nearest: where dense groups have crowded its links out, the one of these with fewest such additions gets one."""
+        links = self.links[0]
+        extra: dict[int, list[int]] = {}
+        for i in range(0, len(links), 4 * BATCH):
+            rows = np.arange(i, min(len(links), i + 4 * BATCH))
+            sims = np.where(links[rows] >= 0, np.einsum("bcd,bd->bc", self.x[links[rows]], self.x[rows]), -2)
+            near = np.take_along_axis(links[rows], np.argsort(-sims, axis=1, kind="stable")[:, :NEAREST], 1)
+            back = ((links[near] == rows[:, None, None]) & (near >= 0)[:, :, None]).any(axis=(1, 2))
+            for o, own in zip(rows[~back].tolist(), near[~back].tolist(), strict=True):
+                if own := [p for p in own if p >= 0]:
+                    extra.setdefault(min(own, key=lambda p: len(extra.get(p, ()))), []).append(o)
+        if extra:
+            more = np.full((len(links), max(map(len, extra.values()))), -1, dtype=np.int32)
+            for p, own in extra.items():
+                more[p, : len(own)] = own
+            self.links[0] = np.concatenate([links, more], axis=1)
+
     def _connect(self, k: int, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
         width = self.links[k].shape[1]
         self.links[k][nodes] = self._chosen(ids, sims, width if not k else M)[:, :width]

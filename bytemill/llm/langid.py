@@ -201,7 +201,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 own = numbers[rows]
                 for j, lang in enumerate(labels.tolist()):
                     c, n = np.unique(code[own == j], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+                    if len(c):  # a chunk need not hold every label of its piece
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), type=pa.string()), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = mapped(sample.where("fit").select("lang", "t"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     code, n, langs = counted["code"].to_numpy().view(U64), counted["n"].to_numpy(), np.asarray(counted["lang"].to_pylist(), dtype=object)

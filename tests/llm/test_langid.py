@@ -123,6 +123,16 @@ def test_only_the_most_frequent_labels_are_learned(spark):
     assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=1).languages == ["aa"]
 
 
+def test_a_label_may_be_missing_from_a_chunk(spark):
+    """One label has no letters at all, another only the first of a piece's two chunks."""
+    long = [(i, "lor mip dol " * 50_000, "bb") for i in range(2)]
+    rows = [*long, *[(10 + i, "12 !?", "aa") for i in range(20)], *[(100 + i, "ket zuv", "cc") for i in range(20)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.train(df)
+    assert model.languages == ["bb", "cc"]
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(df, model).collect()} == {(d, {"aa": "und"}.get(x, x)) for d, _, x in rows}
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     words = {"aa": ["lor", "mip", "dol", "sit"], "bb": ["ket", "zuv", "wox", "qah"]}
     r = np.random.default_rng(1)

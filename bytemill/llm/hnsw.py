@@ -2,10 +2,11 @@
 
 Equal vectors are one class from the start. Classes are dealt to shards by a hash; each shard builds a graph of its members once, audits it
 and writes it to the shared folder. Every class queries every shard of vectors of its length: a task holds one graph and a slice of
-about SLICE queries, so neither a large table nor a hot shard is one task's. Insertion and search run in NumPy for a whole batch of
-vectors in lock step. A query descends the layers, searches the bottom one with a beam, and then
+SLICE queries (up to MOST times as many where there are TASKS tasks without that, so that graphs are not sent more often than needed), so
+neither a large table nor a hot shard is one task's. Insertion and search run in NumPy for a whole batch of vectors in lock step. A query descends the layers, searches the bottom one with a beam, and then
 follows links from every member at the threshold or above to further such members, so a dense group of any size
-is found whole without a beam of its size. Cosines that look like links are verified in double precision.
+is found whole without a beam of its size. What is found comes in pieces of at most CELLS links, and what has been seen is a bit map of at most SEEN
+queries times members at once, so a task's memory does not grow with its groups. Cosines that look like links are verified in double precision.
 
 A shard's audit has two parts, and both must reach a recall of RECALL: AUDIT members are turned by a random direction to the very
 threshold and must be found again, and for AUDIT members all links, as brute force finds them, must be found. The beam is doubled until
@@ -37,6 +38,14 @@ M, BUILD, BEAM, WIDEST, BATCH = 12, 48, 32, 256, 512
 AUDIT, RECALL, NEAREST = 256, 0.995, 4
 #: Least number of shards, most classes and bytes of vectors of a shard, queries that share a task, bytes of a row that holds a part of a graph.
 SHARDS, MEMBERS, BYTES, SLICE, PART = 2, 50_000, 64 << 20, 8192, 4 << 20
+#: Tasks from which on they get up to MOST slices of queries each; links looked at together, queries times members whose state is held, bytes of vectors multiplied at once.
+TASKS, MOST, CELLS, SEEN, HELD = 64, 8, 1 << 18, 4 << 20, 16 << 20
+
+
+def products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of x[i] and y[j], row by row, HELD bytes at a time."""
+    n = max(1, HELD // (x.itemsize * max(1, x.shape[1])))
+    return np.concatenate([np.einsum("id,id->i", x[i[k : k + n]], y[j[k : k + n]]) for k in range(0, len(i), n)] or [np.zeros(0, x.dtype)])
 
 
 class Graph:
@@ -175,7 +184,7 @@ class Graph:
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # the same neighbour of two nodes
             r, c = np.nonzero(near >= 0)
             s = np.full(near.shape, -2, dtype=np.float32)
-            s[r, c] = np.einsum("id,id->i", self.x[near[r, c]], q[active[r]])
+            s[r, c] = products(self.x, near[r, c], q, active[r])
             all_ids, all_s = np.concatenate([ids[active], near], axis=1), np.concatenate([sims[active], s], axis=1)
             all_open = np.concatenate([open_[active], near >= 0], axis=1)
             if all_ids.shape[1] > beam:
@@ -187,36 +196,49 @@ class Graph:
             ids[active], sims[active], open_[active] = all_ids, all_s, all_open
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the nodes with a similarity of `least` or more: those the beam meets, and what links lead to from them."""
+    def near(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces (query, node) of the nodes with a similarity of `least` or more: those the beam meets, and what links lead to from them. No pair comes twice."""
         ids, sims = self.search(q, beam)
-        r, c = np.nonzero((sims >= least) & (ids >= 0))
-        seen = np.zeros((len(q), len(self.x) + 1), dtype=bool)
-        seen[np.arange(len(q))[:, None], ids] = True
-        seen[:, -1] = True
-        query, node = r, ids[r, c]
-        found = [(query, node)]
-        while len(query):
-            near = self.links[0][node].astype(np.int64)
-            query = np.repeat(query, near.shape[1])
-            near = near.ravel()
-            keep = ~seen[query, near]
-            pair = np.unique(query[keep] * len(self.x) + near[keep])
-            query, near = pair // len(self.x), pair % len(self.x)
-            seen[query, near] = True
-            hit = np.concatenate([np.einsum("id,id->i", self.x[near[i : i + 100_000]], q[query[i : i + 100_000]]) for i in range(0, len(near), 100_000)] or [np.zeros(0)]) >= least
-            query, node = query[hit], near[hit]
-            found.append((query, node))
-        return np.concatenate([f[0] for f in found]), self.row[np.concatenate([f[1] for f in found])]
-
-
-def brute(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row of x) of all pairs with a product of `least` or more, in blocks."""
-    found = []
-    for i in range(0, len(x), 1 << 14):
-        r, c = np.nonzero(q @ x[i : i + (1 << 14)].T >= least)
-        found.append((r, c + i))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        met = (sims >= least) & (ids >= 0)
+        some, n, links = np.flatnonzero(met.any(axis=1)), len(self.x), self.links[0]
+        step = max(1, CELLS // links.shape[1])
+        for a in range(0, len(some), rows := max(1, SEEN // (n + 1))):
+            at = some[a : a + rows]
+            seen = np.zeros((len(at), n + 1), dtype=bool)
+            seen[np.arange(len(at))[:, None], ids[at]] = True
+            seen[:, -1] = True
+            query, c = np.nonzero(met[at])
+            node = ids[at][query, c]
+            yield at[query], self.row[node]
+            query, node = query.astype(np.int32), node.astype(np.int32)
+            while len(query):
+                found = []
+                for i in range(0, len(query), step):
+                    to = links[node[i : i + step]]
+                    who = np.repeat(query[i : i + step], to.shape[1])
+                    to = to.ravel()
+                    fresh = ~seen[who, to]
+                    pair = np.unique(who[fresh].astype(np.int64) * n + to[fresh])
+                    who, to = pair // n, pair % n
+                    seen[who, to] = True
+                    hit = products(self.x, to, q, at[who]) >= least
+                    who, to = who[hit], to[hit]
+                    yield at[who], self.row[to]
+                    found.append((who.astype(np.int32), to.astype(np.int32)))
+                query, node = (np.concatenate(f) for f in zip(*found, strict=True))
+
+    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """All that near() finds at once."""
+        found = list(self.near(q, least, beam))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def brute(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces (query, row of x) of all pairs with a product of `least` or more."""
+    n = max(1, 4 * CELLS // max(1, len(q)))
+    for i in range(0, len(x), n):
+        r, c = np.nonzero(q @ x[i : i + n].T >= least)
+        yield r, c + i
 
 
 def audited(graph: Graph, x: np.ndarray, least: float, beam: int = BEAM) -> tuple[int, float]:
@@ -228,13 +250,16 @@ def audited(graph: Graph, x: np.ndarray, least: float, beam: int = BEAM) -> tupl
     aside -= (aside * v).sum(axis=1, keepdims=True) * v
     length = np.linalg.norm(aside, axis=1, keepdims=True)
     planted = np.where(length > 1e-9, least * v + np.sqrt(1 - least * least) * aside / np.maximum(length, 1e-9), v)
-    a, b = brute(x, v, least)
-    links = a * len(x) + b
+    links = np.zeros((len(some), len(x)), dtype=bool)
+    for query, node in brute(x, v, least):
+        links[query, node] = True
     while True:
-        query, node = graph.within(planted.astype(np.float32), least - 1e-4, beam)
-        again = len(np.unique(query[node == some[query]])) / max(1, len(some))
-        query, node = graph.within(v.astype(np.float32), least - 1e-4, beam)
-        recall = min(again, np.isin(links, query * len(x) + node).mean() if len(links) else 1.0)
+        again, met = np.zeros(len(some), dtype=bool), np.zeros_like(links)
+        for query, node in graph.near(planted.astype(np.float32), least - 1e-4, beam):
+            again[query[node == some[query]]] = True
+        for query, node in graph.near(v.astype(np.float32), least - 1e-4, beam):
+            met[query, node] = True
+        recall = min(again.sum() / max(1, len(some)), (links & met).sum() / links.sum() if links.any() else 1.0)
         if recall >= RECALL:
             return beam, float(recall)
         if beam >= WIDEST:
@@ -282,32 +307,43 @@ class _Shard:
         held = np.load(io.BytesIO(blob))
         self.ids, self.weight, self.x, self.beam, self.least = held["ids"], held["weight"], held["x"], int(held["beam"]), least
         self.graph = Graph(self.x, links=[held[f"links{k}"] for k in range(sum(n.startswith("links") for n in held.files))])
-        self.up = list(range(len(self.ids)))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+        self.up = np.arange(len(self.ids))
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        while (self.up[up := self.up[i]] != up).any():
+            i = up
+        return up
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.roots(a), self.roots(b)
+        pairs = np.unique(a[differ] * len(self.up) + b[differ]) if (differ := a != b).any() else np.zeros(0, np.int64)
+        nodes, at = np.unique(np.concatenate([pairs // len(self.up), pairs % len(self.up)]), return_inverse=True)
+        up = list(range(len(nodes)))
+        for a, b in zip(at[: len(pairs)].tolist(), at[len(pairs) :].tolist(), strict=True):
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            up[a] = b
+        if len(nodes):
+            self.up[nodes] = nodes[up]
+            self.up = self.roots(np.arange(len(self.up)))
 
     def answer(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the queries with links here: their ids, how many vectors they link to, and one of these."""
         out = []
         for i in range(0, len(ids), BATCH):
             q, some = x[i : i + BATCH], ids[i : i + BATCH]
-            query, member = self.graph.within(q.astype(np.float32), self.least - 1e-4, self.beam) if self.beam else brute(self.x, q, self.least - 1e-4)
-            exact = np.concatenate([np.einsum("id,id->i", q[query[j : j + 50_000]], self.x[member[j : j + 50_000]]) for j in range(0, len(query), 50_000)] or [np.zeros(0)])
-            keep = (exact >= self.least) & (self.ids[member] != some[query])
-            query, member = query[keep], member[keep]
-            by = np.argsort(query, kind="stable")
-            query, member = query[by], member[by]
-            own, first = np.unique(query, return_index=True)
-            head = member[first][np.searchsorted(own, query)]
-            for a, b in zip(head.tolist(), member.tolist(), strict=True):
-                if (a := self.root(a)) != (b := self.root(b)):
-                    self.up[a] = b
-            out.append((some[own], np.bincount(query, self.weight[member], len(q))[own].astype(np.int64), self.ids[member[first]]))
+            count, head = np.zeros(len(q), np.int64), np.full(len(q), -1)
+            for query, member in self.graph.near(q.astype(np.float32), self.least - 1e-4, self.beam) if self.beam else brute(self.x, q, self.least - 1e-4):
+                keep = (products(self.x, member, q, query) >= self.least) & (self.ids[member] != some[query])
+                query, member = query[keep], member[keep]
+                count += np.bincount(query, self.weight[member], len(q)).astype(np.int64)
+                new = head[query] < 0
+                head[query[new]] = member[new]
+                self.unite(head[query], member)
+            own = np.flatnonzero(head >= 0)
+            out.append((some[own], count[own], self.ids[head[own]]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -320,9 +356,8 @@ def _search(least: float):
 
         def united() -> Iterator[pa.RecordBatch]:
             if shard:
-                i = np.array([i for i in range(len(shard.ids)) if shard.up[i] != i], dtype=np.int64)
-                roots = np.array([shard.root(k) for k in i.tolist()], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.ids[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(shard.ids[roots])], names=names)
+                i = np.flatnonzero(shard.up != np.arange(len(shard.up)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.ids[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(shard.ids[shard.roots(i)])], names=names)
 
         for batch in batches:
             key = list(zip(batch.column("shard").to_pylist(), batch.column("slice").to_pylist(), batch.column("blob").is_null().to_pylist(), strict=True))
@@ -350,7 +385,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = kept(rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")))
     n, wide = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     shards = max(SHARDS, -(-n // max(1000, min(MEMBERS, BYTES // (12 * wide)))))
-    slices = max(1, -(-n // SLICE))
+    slices = max(1, min(-(-n // SLICE), max(-(-n // (MOST * SLICE)), -(-TASKS // shards))))
     base = F.size("v") * shards
     members = classes.select((base + F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int")).cast("long").alias("shard"), "rep", "weight", "v")
     graphs = kept(mapped(members.repartition("shard").sortWithinPartitions("shard"), _build(least), "shard long, part long, blob binary, recall double"))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,6 +66,25 @@ def test_a_shard_whose_audit_fails_is_searched_by_brute_force(monkeypatch, recal
     assert dict(zip(rep.tolist(), links.tolist())) == {i: int(n) for i, n in enumerate(want) if n}
 
 
+@pytest.mark.parametrize("beam", [32, 0])
+def test_memory_does_not_grow_with_a_dense_group(beam):
+    """All of 3000 vectors link to each other: nine million links, of which a few are held at once, and none is lost."""
+    r = np.random.default_rng(1)
+    x = np.ones((3000, 16)) + 0.02 * r.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    arrays = {"ids": np.arange(3000), "weight": np.full(3000, 2), "x": x, "beam": np.array(beam), **{f"links{k}": v for k, v in enumerate(hnsw.Graph(x).links)}}
+    shard = hnsw._Shard(hnsw._packed(arrays), 0.9)
+    tracemalloc.start()
+    try:
+        rep, links, other = shard.answer(np.arange(512), x[:512])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 128 << 20
+    assert rep.tolist() == list(range(512)) and (links == 2 * 2999).all() and (other != rep).all()
+    assert len(np.unique(shard.roots(np.arange(3000)))) == 1
+
+
 def test_rows_equal_brute_force(spark, monkeypatch):
     for name, value in (("SHARDS", 3), ("SLICE", 40), ("PART", 5000)):
         monkeypatch.setattr(hnsw, name, value)

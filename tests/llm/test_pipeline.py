@@ -52,6 +52,13 @@ def test_run_gives_the_ids_of_the_texts_that_stay(spark, folder):
     assert out and all(r.ids == library.encode_ordinary(text[r.doc_id]) and r.round_trip and r.n_tokens == len(r.ids) for r in out)
 
 
+def test_language_holds_a_label_whose_texts_have_no_letters(spark):
+    rows = [*[(i, "12 !?", "aa", "src0", 5) for i in range(20)], *[(100 + i, "ket zuv", "cc", "src0", 7) for i in range(20)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+    left = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.lang) for r in left) == [(100 + i, "cc") for i in range(20)]
+
+
 def test_empty_table(spark, folder, tmp_path):
     path, _ = folder
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
